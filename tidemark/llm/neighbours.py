@@ -93,7 +93,7 @@ def best_of_tile(q_ids, q, c_ids, c, k: int) -> Iterator[tuple[int, list[tuple[f
             low = middle - error
             limit = np.partition(low, len(low) - need)[len(low) - need]
             keep = np.flatnonzero(middle + error >= limit) if not repeated else np.arange(len(middle))
-            exact = (c[keep] * part[j]).sum(axis=1)
+            exact = np.add.accumulate(c[keep] * part[j], axis=1)[:, -1]  # one fixed order of summation
             best: dict[int, float] = {}
             for g in np.argsort(-exact, kind="stable"):
                 score = float(exact[g])

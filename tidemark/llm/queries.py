@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, lines, mixing, neighbours, pieces, quality
+from . import archives, extraction, language, lines, mixing, neighbours, pieces, quality
 from .common import table
 
 #: Name of the vocabulary file for op10 and op2, looked up among the public tokenizers.
@@ -24,6 +24,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_archives": op5_archives,
     "op6_line_dedup": op6_line_dedup,
