@@ -62,7 +62,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     later = F.sum("tm_weight").over(stops.rowsBetween(0, Window.unboundedFollowing))
     ranked = ranked.withColumn("tm_left", F.col("tm_all") - earlier).withColumn("tm_later", later)
     stopped = F.col("tm_total").cast(WIDE) * PASSES * F.col("tm_later") <= F.col("tm_left").cast(WIDE) * F.col("tm_weight")
-    level = F.min(F.when(~stopped, F.col("tm_left") / F.col("tm_later"))).over(Window.partitionBy())
+    # The first source that doesn't stop sets the level; what later rows compute is below it.
+    level = F.max(F.when(~stopped, F.col("tm_left") / F.col("tm_later"))).over(Window.partitionBy())
     target = F.when(stopped, (F.col("tm_total") * PASSES).cast("double")).otherwise(F.col("tm_weight") * level)
     return ranked.withColumn("tm_target", target).select("tm_source", "tm_rank", "tm_total", "tm_target")
 
@@ -172,7 +173,7 @@ levels AS (SELECT *, 3 * total::HUGEINT * later <= remaining::HUGEINT * weight A
 targets AS (
   SELECT source, rank, total, everything,
          CASE WHEN stopped THEN (3 * total)::DOUBLE
-              ELSE weight * min(CASE WHEN NOT stopped THEN remaining::DOUBLE / later::DOUBLE END) OVER () END AS target
+              ELSE weight * max(CASE WHEN NOT stopped THEN remaining::DOUBLE / later::DOUBLE END) OVER () END AS target
   FROM levels),
 runs AS (
   SELECT docs.*, rank, total, everything, target,
