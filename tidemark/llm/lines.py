@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, text_of
+from .common import SPACE_CHARS, cut, text_of
 
 MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +54,9 @@ def repeated_keys(lines: DataFrame) -> DataFrame:
 def lost_positions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows of ``doc_id, mark, lost`` with the sorted positions of the lines that a document loses."""
     lines = keyed_lines(docs, min_chars)
-    hits = lines.join(repeated_keys(lines), ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
+    # As a table of its own, so that a hot key's rows on the other side can be split over tasks.
+    repeated = cut(repeated_keys(lines), "lines-repeated")
+    hits = lines.join(repeated, ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     return hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
 
