@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, language, lines, mixing, neighbours, pieces, quality
+from . import archives, copies, extraction, language, licenses, lines, mixing, neighbours, pieces, quality
 from .common import table
 
 #: Name of the vocabulary file for op10 and op2, looked up among the public tokenizers.
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archive_report(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), piece_model())
 
@@ -56,10 +64,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_archives": op5_archives,
     "op6_line_dedup": op6_line_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_mixing": op8_mixing,
+    "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
