@@ -61,8 +61,8 @@ def paths(shingles, runs: int):
     out = []
     for _ in range(DEPTH):
         least = at.copy()
-        for r in range(runs):
-            least[r] = mixed(shingles ^ at[r]).min()
+        for r in range(runs):  # shingles are mixed already; a seeded multiplication orders them anew
+            least[r] = ((shingles ^ at[r]) * (at[r] | np.uint64(1))).min()
         at = mixed(at * np.uint64(0xE7037ED1A0B428DB) + least)
         out.append(at.view(np.int64))
     return out
