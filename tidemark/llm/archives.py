@@ -106,9 +106,8 @@ def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Data
             return pd.DataFrame({"archive": [f"pages-{part:06d}-{k:05d}.warc.zst"], "content": [start + b"".join(held)]})
 
         for f in frames:
-            for page_id, url, html, refers_to in zip(f["page_id"].astype(object), f["url"], f["html"], f["refers_to"].astype(object)):
+            for page_id, url, html, refers_to in zip(f["page_id"], f["url"], f["html"], f["refers_to"]):
                 payload = html.encode("utf-8", "replace")
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
                 raw = record("none" if page_id is None else page_id, url, payload, base32_sha1(payload), refers_to, date)
                 held.append(packer.compress(raw))
                 size += len(raw)
@@ -118,7 +117,8 @@ def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Data
         if held:
             yield full()
 
-    return joined.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.col("refers_to").cast("long")).mapInPandas(work, schema(archive="string", content="binary"))
+    # Ids as strings: pandas would make floats of whole numbers with nulls among them.
+    return joined.select(F.col("page_id").cast("string"), F.col("url").cast("string"), "html", F.col("refers_to").cast("string")).mapInPandas(work, schema(archive="string", content="binary"))
 
 
 class Damaged(ValueError):

@@ -77,6 +77,18 @@ def schema(**kinds: str) -> T.StructType:
     return T.StructType([T.StructField(k, T._parse_datatype_string(v), True) for k, v in kinds.items()])
 
 
+def map_rows(df: DataFrame, work, ids: list[str], /, **fields: str) -> DataFrame:
+    """``df`` through a function on pandas frames, with ``ids`` and ``fields`` as result.
+
+    The ids travel as strings: pandas would turn whole numbers with nulls among them into
+    floats, which can't hold all of them.
+    """
+    kinds = {c: df.schema[c].dataType for c in ids}
+    sent = df.withColumns({c: F.col(c).cast("string") for c in ids})
+    out = sent.mapInPandas(work, schema(**dict.fromkeys(ids, "string"), **fields))
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
 def runs_of(frames: Iterable, key: str) -> Iterator:
     """Frames with all rows of one value of ``key`` each, from batches sorted by ``key``."""
     import pandas as pd

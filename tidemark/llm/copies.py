@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, runs_of, schema, small_batches, text_of
+from .common import cut, map_rows, runs_of, schema, small_batches, text_of
 from .shingles import WordHashes, mixed, shingle_set
 
 THRESHOLD = (4, 5)
@@ -81,16 +81,16 @@ def keyed(docs: DataFrame, runs: int) -> DataFrame:
             for text in f["text"]:
                 s = shingle_set(text, hashes)
                 if not len(s):
-                    rows.append((None, None, 0, None, None, None))
+                    rows.append((0, 0, 0, None, None, None))
                     continue
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows.append(((d >> 64) - 2**63, (d & 2**64 - 1) - 2**63, len(s), *(p.tolist() for p in paths(s, runs))))
             names = ["d1", "d2", "n", "k1", "k2", "k3"]
-            yield f[["doc_id", "mark"]].assign(**{c: list(v) for c, v in zip(names, zip(*rows) if rows else [[]] * 6)}).astype({"d1": "Int64", "d2": "Int64"})
+            yield f[["doc_id", "mark"]].assign(**{c: list(v) for c, v in zip(names, zip(*rows) if rows else [[]] * 6)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_of(docs)
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInPandas(work, schema(doc_id=kind, mark="long", d1="long", d2="long", n="long", k1="array<long>", k2="array<long>", k3="array<long>"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
+    return map_rows(rows, work, ["doc_id"], mark="long", d1="long", d2="long", n="long", k1="array<long>", k2="array<long>", k3="array<long>")
 
 
 def leaves(classes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, schema, small_batches
+from .common import SPACE_CLASS, map_rows, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -283,5 +283,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in f["html"]]
             yield f[["page_id", "url"]].assign(text=texts, n_chars=list(map(len, texts)))
 
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInPandas(work, schema(**kinds, text="string", n_chars="long"))
+    return map_rows(pages.select("page_id", "url", F.col("html").cast("string").alias("html")), work, ["page_id", "url"], text="string", n_chars="long")

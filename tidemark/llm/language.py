@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import schema, small_batches
+from .common import map_rows, schema, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -208,5 +208,5 @@ def predict(docs: DataFrame, model_file: str) -> DataFrame:
             found = [scorer.text(t) for t in f["text"]]
             yield f[["doc_id", "held_out"]].assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInPandas(work, schema(doc_id=kind, held_out="boolean", lang_pred="string", score="double"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+    return map_rows(rows, work, ["doc_id"], held_out="boolean", lang_pred="string", score="double")

@@ -28,7 +28,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema, small_batches, text_of
+from .common import map_rows, small_batches, text_of
 from .shingles import CACHE_ENTRIES, mixed
 
 WORDS = re.compile(r"\w+")
@@ -186,5 +186,4 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) ->
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "license", "share", "first_word"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInPandas(work, schema(doc_id=kind, license="string", share="double", first_word="long"))
+    return map_rows(docs.select("doc_id", text_of(docs).alias("text")), work, ["doc_id"], license="string", share="double", first_word="long")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import schema, small_batches, text_of
+from .common import map_rows, small_batches, text_of
 
 #: Cached encodings of short stretches in a worker: two generations of so many entries.
 CACHE_ENTRIES = 250_000
@@ -205,7 +205,8 @@ def encode_documents(docs: DataFrame, model_file: str, end: bool = True) -> Data
             ids = [codec.encode(t, end) for t in f["text"]]
             yield f[["doc_id"]].assign(ids=ids, decoded=[codec.decode(x) for x in ids])
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInPandas(work, schema(doc_id=docs.schema["doc_id"].dataType.simpleString(), ids="array<int>", decoded="string"))
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
+    return map_rows(rows, work, ["doc_id"], ids="array<int>", decoded="string")
 
 
 def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -229,4 +230,5 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 b.append(sha(codec.decode(ids).encode()).hexdigest())
             yield f[["doc_id"]].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInPandas(work, schema(doc_id=docs.schema["doc_id"].dataType.simpleString(), n_tokens="long", ids_sha256="string", decoded_sha256="string"))
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
+    return map_rows(rows, work, ["doc_id"], n_tokens="long", ids_sha256="string", decoded_sha256="string")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, schema, small_batches, text_of, words_of
+from .common import SPACE_CHARS, cut, map_rows, small_batches, text_of, words_of
 
 MIN_WORDS = 50
 #: Units of the five rates: symbols, repeated lines, repeated windows, capitals, exclamation marks.
@@ -114,8 +114,7 @@ def measured(docs: DataFrame) -> DataFrame:
             found = list(zip(*map(measures, f["text"]))) or [[]] * len(FIELDS)
             yield f[["doc_id", "lang"]].assign(**dict(zip(FIELDS, map(list, found))))
 
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
-    return docs.select("doc_id", "lang", text_of(docs).alias("text")).mapInPandas(work, schema(**kinds, **FIELDS))
+    return map_rows(docs.select("doc_id", "lang", text_of(docs).alias("text")), work, ["doc_id", "lang"], **FIELDS)
 
 
 def binomial_at_most(x: int, n: int, p: float) -> float:
