@@ -10,7 +10,7 @@ from ..functions.exprs import degenerate_digits
 #: Rule and pattern; a match is never put out.
 LEAKS = [
     ("labelled-id", r"(?i)(?:mrn|patient id|uhid|sample no)\s*[:#]\s*([A-Za-z0-9]{5,})"),
-    ("phone", r"(?:^|[^0-9])([0-9]{10})(?:[^0-9]|$)"),
+    ("phone", r"\b([0-9]{10})\b"),
     ("e-mail", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
     ("birth-date", r"(?i)(?:dob|date of birth)\s*[:#]?\s*([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4})"),
 ]

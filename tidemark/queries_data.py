@@ -183,7 +183,7 @@ def last_turns(spark, sf_dir):
 LEAK_SQL = """
 WITH hits AS (
   SELECT doc_id, text, 'labelled-id' AS rule, regexp_extract_all(text, '(?i)(?:mrn|patient id|uhid|sample no)\\s*[:#]\\s*([A-Za-z0-9]{5,})', 1) AS found FROM documents
-  UNION ALL SELECT doc_id, text, 'phone', list_filter(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{10})(?:[^0-9]|$)', 1), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
+  UNION ALL SELECT doc_id, text, 'phone', list_filter(regexp_extract_all(text, '\\b([0-9]{10})\\b', 1), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
   UNION ALL SELECT doc_id, text, 'e-mail', regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1) FROM documents
   UNION ALL SELECT doc_id, text, 'birth-date', regexp_extract_all(text, '(?i)(?:dob|date of birth)\\s*[:#]?\\s*([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4})', 1) FROM documents)
 SELECT doc_id, rule, len(found)::BIGINT AS n, (length(p) - length(replace(p, chr(10), '')) + 1)::BIGINT AS first_line

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_of_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
+def last_of_day(stream: DataFrame, late: str | None = "2 days") -> DataFrame:
     """Last reading per patient, analyte and day of a stream of ``patient_id, analyte, collected, value, seq``.
 
-    Days are closed once the watermark has passed them; later readings are dropped.
+    Days are closed once the watermark has passed them; later readings are dropped.  With
+    ``late`` None the stream has a watermark already.
     """
     day = F.window("collected", "1 day")
     best = F.max_by(F.struct("value", "collected", "seq"), F.struct("collected", "seq"))
-    g = stream.withWatermark("collected", late).groupBy("patient_id", "analyte", day).agg(best.alias("o"))
+    g = (stream.withWatermark("collected", late) if late else stream).groupBy("patient_id", "analyte", day).agg(best.alias("o"))
     return g.select("patient_id", "analyte", F.to_date("window.start").alias("date"), "o.value", "o.collected", "o.seq")
 
 
