@@ -63,11 +63,15 @@ class Pieces:
         """For each end the (start, piece) that end there; -1 is a character of no piece."""
         text = MARK + word
         out: list[list[tuple[int, int]]] = [[] for _ in text]
+        single = bytearray(len(text))
         for end, (back, k) in self.automaton.iter(text):
             out[end].append((end - back, k))
-        for end, found in enumerate(out):
-            if not any(start == end for start, _ in found):
-                found.append((end, -1))
+            if not back:
+                single[end] = 1
+        if 0 in single:
+            for end, known in enumerate(single):
+                if not known:
+                    out[end].append((end, -1))
         return out
 
 
