@@ -11,8 +11,12 @@ def nil(kind: str = "double") -> Column:
 
 
 def fixed(x: Column, digits: int = 4) -> Column:
-    """A double rounded through a decimal, so that sums in another order give the same."""
-    return x.cast(f"decimal(18,{digits})").cast("double")
+    """A double rounded half away from zero, so that sums in another order give the same.
+
+    The scaled double is rounded, not its shortest decimal: engines agree on that.
+    """
+    power = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(x) * power + 0.5) / power + 0.0
 
 
 # --- ranges -----------------------------------------------------------------------------
