@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
+from tidemark.plans import rules
 from tidemark.plans import views as V
 
 KINDS = "patient_id long, analyte string, day int, value double, low double, high double, valence int, system string"
@@ -128,3 +129,16 @@ def test_no_crash_on_empty(spark):
     for f in (S.monotonic_runs, S.next_day_jumps, S.range_crossings, S.trends, S.carried, S.movement, V.burden, V.findings):
         assert f(empty).count() == 0
     assert S.steps(frame(spark, [1, 2])).filter(F.col("dir") == 1).count() == 1
+
+
+def test_all_rules_in_one_shape(spark):
+    base = [("inr", [1, 2, 3], 1), ("albumin", [3, 2, 1], -1), ("bilirubin_total", [1, 2, 4], 1), ("creatinine", [1, 2, 3], 1), ("urea", [1, 2, 3], 1), ("sodium", [140, 130, 120], -1), ("crp", [1, 2, 3], 1), ("wbc", [1, 2, 3], 1), ("nlr", [1, 2, 3], 1)]
+    p = None
+    for a, v, valence in base:
+        f = frame(spark, v, analyte=a, valence=valence)
+        p = f if p is None else p.unionByName(f)
+    obs = p.select("patient_id", "analyte", "day", F.when((F.col("analyte") == "inr") & (F.col("day") == 3), "CH").alias("printed_flag"))
+    scores = spark.createDataFrame([(1, 1, 20.0), (1, 2, 30.0)], "patient_id long, day int, score double")
+    got = {(r.rule, r.severity) for r in rules.all_findings(p, obs, scores).collect()}
+    assert {("synthetic-failure", "critical"), ("renal-cluster", "high"), ("infection-cluster", "moderate"), ("critical-flag", "critical"), ("meld-escalation", "high"), ("rising-run", "moderate")} <= got
+    assert rules.all_findings(p.limit(0), obs.limit(0), scores.limit(0)).select(rules.audience().alias("a")).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed_values import STOP_WORDS
+
 
 def nil(kind: str = "double") -> Column:
     return F.lit(None).cast(kind)
@@ -154,10 +156,6 @@ def parse_reference(text: Column) -> dict[str, Column]:
     return {"low": F.when(pair, a).when(below.isNull(), above), "high": F.when(pair, b).otherwise(below)}
 
 
-#: Fixed value: words that carry no meaning in a question.
-STOP_WORDS = "a an and are as at be but by did do does for from had has have how i if in is it its me my no not of on or our she so than that the their them then there these they this to up was we were what when where which who why will with you your".split()
-
-
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, without stop words and single characters."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed_values import EVERYDAY
 from ..functions.exprs import fixed, tokens
 
 K1, B, TOP, FAN_OUT, EXPANDED = 1.5, 0.75, 8, 8, 0.6
@@ -62,15 +63,32 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def mentioned_dates(text: Column) -> Column:
-    """Days and months named in a question, as sorted distinct ``month * 100 + day``; the year is ignored."""
+    """Days and months named in a question, as sorted distinct ``month * 100 + day``; the year is ignored.
+
+    Two numbers with a slash or dash are day and month, also those inside an ISO date.
+    """
     low = F.lower(text)
-    month = "(" + "|".join(MONTHS) + ")[a-z]*"
+    month = "(" + "|".join(MONTHS) + ")[a-z]{0,6}"
     number = lambda name: F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int")
-    a = F.transform(F.regexp_extract_all(low, F.lit(rf"([0-9]{{1,2}}(?:st|nd|rd|th)? {month})"), F.lit(1)), lambda x: number(F.regexp_extract(x, month, 1)) * 100 + F.regexp_extract(x, "^([0-9]+)", 1).cast("int"))
-    b = F.transform(F.regexp_extract_all(low, F.lit(rf"({month} [0-9]{{1,2}})"), F.lit(1)), lambda x: number(F.regexp_extract(x, month, 1)) * 100 + F.regexp_extract(x, "([0-9]+)$", 1).cast("int"))
-    c = F.transform(F.regexp_extract_all(low, F.lit(r"([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1)), lambda x: F.substring(x, 6, 2).cast("int") * 100 + F.substring(x, 9, 2).cast("int"))
-    d = F.transform(F.regexp_extract_all(low, F.lit(r"([0-9]{1,2}/[0-9]{1,2})"), F.lit(1)), lambda x: F.get(F.split(x, "/"), F.lit(1)).cast("int") * 100 + F.get(F.split(x, "/"), F.lit(0)).cast("int"))
-    return F.array_sort(F.array_distinct(F.concat(a, b, c, d)))
+    found = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    part = lambda x, pattern: F.regexp_extract(x, pattern, 1)
+    named = F.concat(
+        F.transform(found(rf"\b[0-9]{{1,2}}(?:st|nd|rd|th)?[\s-]+{month}\b"), lambda x: number(part(x, month)) * 100 + part(x, "^([0-9]+)").cast("int")),
+        F.transform(found(rf"\b{month}[\s-]+[0-9]{{1,2}}(?:st|nd|rd|th)?\b"), lambda x: number(part(x, month)) * 100 + part(x, "([0-9]+)(?:st|nd|rd|th)?$").cast("int")),
+    )
+    iso = F.transform(found(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"), lambda x: F.substring(x, 6, 2).cast("int") * 100 + F.substring(x, 9, 2).cast("int"))
+    pairs = F.transform(found(r"\b[0-9]{1,2}[/-][0-9]{1,2}\b"), lambda x: part(x, "([0-9]+)$").cast("int") * 100 + part(x, "^([0-9]+)").cast("int"))
+    return F.array_sort(F.array_distinct(F.concat(named, iso, pairs)))
+
+
+def mentioned_days(text: Column) -> Column:
+    """Numbers of days that a question names as ``day N``."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\bday\s*([0-9]{1,2})\b"), F.lit(1)), lambda x: x.cast("int"))))
+
+
+def everyday_concepts(spark) -> DataFrame:
+    """The fixed everyday words as ``word, term``."""
+    return spark.createDataFrame([(w, t) for w, terms in EVERYDAY.items() for t in terms.split()], "word string, term string")
 
 
 def citations(rows: DataFrame, by: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import fixed_values as V
 from .functions import exprs as X
 from .plans import checks as K
 from .plans import layout as L
@@ -93,7 +94,7 @@ def crop_boxes(spark, sf_dir):
 
 # --- retrieval ------------------------------------------------------------------------------
 
-STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+STOPS = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
 TERMS_SQL = f"""
 WITH t AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: length(x) > 1 AND x NOT IN ({STOPS})) AS t FROM documents),
 posts AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM t) GROUP BY id, term),
@@ -135,7 +136,8 @@ def query_expansion(spark, sf_dir):
     return R.expand(q, spark.createDataFrame(CONCEPTS, "word string, term string"))
 
 
-@query(f"""SELECT o_orderkey, month(o_orderdate) * 100 + day(o_orderdate) AS asked FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN least(month(o_orderdate) * 100 + day(o_orderdate), day(o_orderdate) * 100 + month(o_orderdate))
+ELSE month(o_orderdate) * 100 + day(o_orderdate) END AS asked FROM orders""")
 def date_mentions(spark, sf_dir):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     text = F.when(k == 0, F.date_format(d, "'what about the 'd' 'MMMM'?'")).when(k == 1, F.date_format(d, "'compare 'MMM' 'd")).when(k == 2, F.date_format(d, "'on 'yyyy-MM-dd")).otherwise(F.date_format(d, "'seen 'dd/MM"))
@@ -180,12 +182,12 @@ def last_turns(spark, sf_dir):
 
 # --- scans ------------------------------------------------------------------------------------
 
-LEAK_SQL = """
+LEAK_SQL = f"""
 WITH hits AS (
-  SELECT doc_id, text, 'labelled-id' AS rule, regexp_extract_all(text, '(?i)(?:mrn|patient id|uhid|sample no)\\s*[:#]\\s*([A-Za-z0-9]{5,})', 1) AS found FROM documents
-  UNION ALL SELECT doc_id, text, 'phone', list_filter(regexp_extract_all(text, '\\b([0-9]{10})\\b', 1), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
-  UNION ALL SELECT doc_id, text, 'e-mail', regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1) FROM documents
-  UNION ALL SELECT doc_id, text, 'birth-date', regexp_extract_all(text, '(?i)(?:dob|date of birth)\\s*[:#]?\\s*([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4})', 1) FROM documents)
+  SELECT doc_id, text, 'labelled-id' AS rule, regexp_extract_all(text, '{V.LABELLED_ID}', 1) AS found FROM documents
+  UNION ALL SELECT doc_id, text, 'phone', list_filter(regexp_extract_all(text, '{V.PHONE}', 1), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
+  UNION ALL SELECT doc_id, text, 'e-mail', list_filter(regexp_extract_all(text, '{V.E_MAIL}', 1), lambda x: NOT contains(x, '@example.')) FROM documents
+  UNION ALL SELECT doc_id, text, 'birth-date', regexp_extract_all(text, '{V.BIRTH_DATE}', 1) FROM documents)
 SELECT doc_id, rule, len(found)::BIGINT AS n, (length(p) - length(replace(p, chr(10), '')) + 1)::BIGINT AS first_line
 FROM (SELECT *, substr(text, 1, strpos(text, found[1])) AS p FROM hits WHERE len(found) > 0)
 """

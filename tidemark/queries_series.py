@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import fixed
 from .operators import series as S
+from .plans import rules as R
 from .plans import views as V
 from .sources.tables import OBS_SQL, POINTS_SQL, observations, read
 
@@ -352,6 +353,19 @@ def findings_timeline(spark, sf_dir):
     return V.timeline(V.findings(points(spark, sf_dir)))
 
 
+@query(CROSS_SQL + """,
+jumps AS (SELECT *, value - p_value AS delta, abs(value - p_value) / coalesce(nullif(abs(p_value), 0), 1) AS rel, coalesce(abs(value - p_value) > high - low, false) AS wide FROM dirs WHERE day - p_day = 1),
+kept AS (SELECT * FROM jumps j WHERE (rel > 0.5 OR wide) AND NOT EXISTS (
+  SELECT 1 FROM long_runs r WHERE r.patient_id = j.patient_id AND r.analyte = j.analyte AND j.p_day >= r.first_day AND j.day <= r.last_day AND j.rel <= 1.0)),
+best AS (SELECT *, row_number() OVER (PARTITION BY patient_id, analyte ORDER BY rel DESC, day) AS rn FROM kept),
+flags AS (SELECT patient_id, analyte, max(day) AS latest, max(day) FILTER (printed_flag IN ('CH', 'CL')) AS flagged FROM obs GROUP BY ALL)
+SELECT * FROM found
+UNION ALL SELECT 'delta-24h', CASE WHEN sign(delta) = valence AND rel > 0.5 AND wide THEN 'high' WHEN sign(delta) = valence THEN 'moderate' ELSE 'info' END, patient_id, analyte, p_day, day FROM best WHERE rn = 1
+UNION ALL SELECT 'critical-flag', CASE WHEN latest > flagged THEN 'high' ELSE 'critical' END, patient_id, analyte, flagged, latest FROM flags WHERE flagged IS NOT NULL""")
+def series_findings(spark, sf_dir):
+    return R.series_findings(points(spark, sf_dir), observations(spark, sf_dir))
+
+
 @query(OBS_SQL + "SELECT patient_id, analyte, seq, day, value FROM obs WHERE day IN (1, 2, 3, 4, 5) AND analyte IN ('view', 'click', 'error') AND system IN ('A') AND interpretation <> 'N' AND contains(lower(analyte), 'ie')")
 def interactive_filter(spark, sf_dir):
     o = observations(spark, sf_dir)
