@@ -55,10 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` into the shared folder and return a frame that reads it from there."""
+    """Write ``df`` into the shared folder and return a frame that reads it from there.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
