@@ -291,10 +291,10 @@ def merge_wrapped(spark, sf_dir):
 
 
 LUM_SQL = """
-WITH lum AS (SELECT o_custkey AS page, y, CASE WHEN (y + o_custkey) % 97 < 30 THEN 120 + (y % 3) WHEN (y + o_custkey) % 97 BETWEEN 40 AND 43 THEN 100 ELSE 250 END AS lum
-             FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 20 = 0), (SELECT unnest(range(0, 1000)) AS y)),
-d AS (SELECT *, y - row_number() OVER (PARTITION BY page ORDER BY y) AS island FROM lum WHERE lum < 195 AND y >= 100),
-runs AS (SELECT page, min(y) AS top, max(y) AS bottom, max(y) - min(y) + 1 AS tall FROM d GROUP BY page, island HAVING tall BETWEEN 12 AND 35 AND avg(lum) <= 160),
+WITH lum AS (SELECT c_custkey AS page, y, CASE WHEN (y + c_custkey) % 97 < 12 THEN 120 + (y % 3) WHEN (y + c_custkey) % 97 BETWEEN 40 AND 43 THEN 100 ELSE 250 END AS lum
+             FROM customer, (SELECT unnest(range(0, 400)) AS y)),
+d AS (SELECT *, y - row_number() OVER (PARTITION BY page ORDER BY y) AS island FROM lum WHERE lum < 195 AND y >= 40),
+runs AS (SELECT page, min(y) AS top, max(y) AS bottom, max(y) - min(y) + 1 AS tall FROM d GROUP BY page, island HAVING tall BETWEEN 4.8 AND 14 AND avg(lum) <= 160),
 l AS (SELECT *, coalesce(lead(top) OVER w - bottom <= greatest(30, 3 * tall), false) AS link FROM runs WINDOW w AS (PARTITION BY page ORDER BY top)),
 b AS (SELECT *, CASE WHEN coalesce(lag(link) OVER (PARTITION BY page ORDER BY top), false) THEN 0 ELSE 1 END AS begins FROM l),
 c AS (SELECT *, sum(begins) OVER (PARTITION BY page ORDER BY top) AS chain FROM b),
@@ -303,11 +303,11 @@ p AS (SELECT *, row_number() OVER (PARTITION BY page, chain ORDER BY top) - 1 AS
 
 
 def luminance(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_custkey % 20 = 0").select(F.col("o_custkey").alias("page")).distinct()
+    """Each customer a page of 400 rows of pixels."""
     y = F.col("y")
-    rows = o.select("page", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("y"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(399))).alias("y"))
     k = (y + F.col("page")) % 97
-    return rows.select("page", "y", F.when(k < 30, 120 + y % 3).when(k.between(40, 43), 100).otherwise(250).alias("lum"), F.lit(1000).alias("height"))
+    return rows.select("page", "y", F.when(k < 12, 120 + y % 3).when(k.between(40, 43), 100).otherwise(250).alias("lum"), F.lit(400).alias("height"))
 
 
 @query(LUM_SQL + "SELECT page, top::INT AS top, bottom::INT AS bottom, tall::INT AS tall FROM runs")

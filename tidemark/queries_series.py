@@ -286,7 +286,7 @@ def compare_days(spark, sf_dir):
     return V.compare_days(points(spark, sf_dir), 5, 20)
 
 
-DAYS = list(range(1, 11))
+DAYS = list(range(1, 32))
 
 
 @query(POINTS_SQL + "SELECT patient_id, analyte, " + ", ".join(f"max(value) FILTER (day = {d}) AS d{d}" for d in DAYS) + " FROM points GROUP BY ALL")
