@@ -190,7 +190,7 @@ def test_language_rows(spark):
     rng = random.Random(6)
     en, de = ["the", "and", "thing", "with"], ["der", "und", "nicht", "ein"]
     rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(20)), "en" if i % 2 else "de", "s") for i in range(200)]
-    rows += [(900, None, "en", "s"), (901, "123 !!", "de", "s"), (None, "the and thing", None, None), (902, "the " * 30_000, None, "s"), (1, rows[1][1], "en", "s")]
+    rows += [(900, None, "en", "s"), (901, "123 ½ !!", "de", "s"), (None, "the and thing", None, None), (902, "the " * 30_000, None, "s"), (1, rows[1][1], "en", "s")]
     docs = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as score", "true as held_out_x")
     got = language.predict(docs, queries.piece_model()).collect()
     assert len(got) == len(rows)

@@ -146,7 +146,7 @@ class Scorer:
         import numpy as np
 
         found = words(text)
-        if not found or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in found for c in w):  # numerals like ½ are no letters
             return UND, 0.0
         total = np.zeros(len(self.langs))
         if len(self.index) + len(found) > CACHE_ENTRIES:
