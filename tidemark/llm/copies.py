@@ -100,7 +100,8 @@ def leaves(classes: DataFrame) -> DataFrame:
     out = None
     for level in range(1, DEPTH + 1):
         key = f"k{level}"
-        sizes = rows.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1")
+        # As a table of its own, so that a hot bucket's rows on the other side can be split over tasks.
+        sizes = cut(rows.groupBy(key).agg(F.count("*").alias("size")).filter("size > 1"), f"copies-sizes{level}")
         shared = cut(rows.join(sizes, key), f"copies-level{level}")
         done = F.lit(True) if level == DEPTH else F.col("size") <= SMALL
         here = shared.filter(done).select("d1", "d2", F.col(key).alias("bucket"), "size")
