@@ -32,6 +32,7 @@ from .common import runs_of, schema, small_batches
 
 QUERY_ROWS = 2_048
 CANDIDATE_ROWS = 32_768
+MOST_PARTITIONS = 20_000
 #: Queries of a tile that are multiplied at a time.
 STRIPE = 128
 
@@ -143,7 +144,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_name: str = "vec_id
         return rows.select(tile.alias("tile"), F.lit(side).alias("side"), "vec_id", "v")
 
     sides = to_tile("q", n_q, n_c).unionByName(to_tile("c", n_c, n_q))
-    dealt = sides.repartition(max(n_q * n_c, 1), "tile").sortWithinPartitions("tile", "side")
+    # A partition may get many tiles; they are worked through one at a time.
+    dealt = sides.repartition(min(n_q * n_c, MOST_PARTITIONS), "tile").sortWithinPartitions("tile", "side")
 
     def tiles(frames: Iterator) -> Iterator:
         import numpy as np
