@@ -14,8 +14,14 @@ MinHashes of blocks of L shingles are minima of those of half the length, so all
 cost little more than the smallest.  Documents of any length are worked through in
 pieces that overlap by the longest window.
 
-Defined results: null and empty texts and those of fewer than five words have no match;
+Templates of one to four words have no shingle; they are matched exactly, as that many
+words in a row.  ``SPDX-License-Identifier:`` lines are read as expressions, whatever
+identifiers they name, and give a row ``spdx:`` and the identifier in lower case for each.
+
+Defined results: null and empty texts have no match;
 a document has one row per template, with the best share and the earliest place of it;
+a text that holds another template, or that differs from one in less than a fifth of its
+shingles, gives a row for that one too, and ``share`` tells them apart;
 repeated rows give repeated results.
 """
 
@@ -24,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +43,10 @@ WIDTH = 5
 SHARE = (4, 5)
 HIT = 0.9999
 PIECE = 16_384
+SPDX_ID = r"[A-Za-z0-9][A-Za-z0-9.+:-]*"
+SPDX = re.compile(rf"(?i:SPDX-License-Identifier)\s*:\s*((?:\(\s*)*{SPDX_ID}(?:\s*\)|\s+(?:AND|OR|WITH)\s+(?:\(\s*)*{SPDX_ID})*)")
 
-#: Public license notices and statements; a parameter of the operator.
+#: A small set of notices and statements; a parameter of the operator.  ``license_set`` has the full one.
 TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -65,21 +74,38 @@ class Hashes(dict):
         return found
 
 
-def shingles(text: str | None, hashes: Hashes):
-    """Hashes of the five-word shingles of a text in order."""
+def word_hashes(text: str | None, hashes: Hashes):
+    """Hashes of the words of a text in order."""
     import numpy as np
 
     words = WORDS.findall(text.lower()) if text else []
-    n = len(words) - WIDTH + 1
+    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles_of(words, width: int = WIDTH):
+    """Hashes of the shingles of a text's word hashes in order."""
+    import numpy as np
+
+    n = len(words) - width + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    h = np.full(n, WIDTH, dtype=np.uint64)
-    for k in range(WIDTH):
-        h = mixed(h + w[k : n + k])
+    h = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        h = mixed(h + words[k : n + k])
     return h
 
 
+def spdx(text: str) -> dict[str, int]:
+    """Identifiers of the SPDX lines of a text, with the first word of the first line of each."""
+    out: dict[str, int] = {}
+    for m in SPDX.finditer(text):
+        place = len(WORDS.findall(text[: m.start()].lower()))
+        for name in re.findall(SPDX_ID, m[1]):
+            if name not in ("AND", "OR", "WITH"):
+                out.setdefault(name.rstrip(".:-").lower(), place)
+    return out
+
+
 class Scanner:
     """Templates by classes, with their bands, and the scan of a text."""
 
@@ -87,20 +113,28 @@ class Scanner:
         import numpy as np
 
         self.hashes = Hashes()
-        self.names = sorted(templates)
-        self.sets = [np.unique(shingles(templates[n], self.hashes)) for n in self.names]
-        if any(not len(s) for s in self.sets):
-            raise ValueError("a template must have five words at least")
+        words = {n: word_hashes(t, self.hashes) for n, t in templates.items()}
+        if any(not len(w) for w in words.values()):
+            raise ValueError("a template must have one word at least")
+        self.short: dict[int, tuple[object, dict[int, list[str]]]] = {}
+        for name in sorted(n for n, w in words.items() if len(w) < WIDTH):
+            width = len(words[name])
+            bits, found = self.short.setdefault(width, (np.zeros(65_536, dtype=bool), {}))
+            value = int(shingles_of(words[name], width)[0])
+            bits[value & 65_535] = True
+            found.setdefault(value, []).append(name)
+        self.names = sorted(n for n, w in words.items() if len(w) >= WIDTH)
+        self.sets = [np.unique(shingles_of(words[n])) for n in self.names]
         up, down = SHARE
         classes: dict[int, list[int]] = {}
         for t, s in enumerate(self.sets):
-            classes.setdefault(1 << max(0, len(shingles(templates[self.names[t]], self.hashes)) - 1).bit_length(), []).append(t)
+            classes.setdefault(1 << max(0, len(words[self.names[t]]) - WIDTH).bit_length(), []).append(t)
         self.bands: dict[int, int] = {}
         for size, members in classes.items():
             window = size if size == 1 else 2 * size
             least = min(math.ceil(up * len(self.sets[t]) / down) / (window + len(self.sets[t]) - math.ceil(up * len(self.sets[t]) / down)) for t in members)
             self.bands[size] = 1 if least >= 1 else math.ceil(math.log(1 - hit) / math.log(1 - least))
-        self.most = max(self.bands.values())
+        self.most = max(self.bands.values(), default=0)
         self.seeds = mixed(np.arange(1, self.most + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
         self.odd = self.seeds | np.uint64(1)
         self.maps: dict[int, object] = {}
@@ -112,7 +146,7 @@ class Scanner:
                     bits[band, value & 65_535] = True
                     finds.setdefault((band, value), []).append(t)
             self.maps[size], self.finds[size] = bits, finds
-        self.largest = max(self.bands)
+        self.largest = max(self.bands, default=0)
 
     def ranks(self, h, bands: int):
         """32-bit ranks of shingles, one row per band."""
@@ -150,14 +184,30 @@ class Scanner:
             ranks = halved
             size *= 2
 
+    def notices(self, words) -> dict[str, int]:
+        """Templates of fewer than five words in a text, with their first places."""
+        import numpy as np
+
+        out: dict[str, int] = {}
+        for width, (bits, found) in self.short.items():
+            h = shingles_of(words, width)
+            for place in np.flatnonzero(bits[(h & np.uint64(65_535)).astype(np.int64)]).tolist():
+                for name in found.get(int(h[place]), ()):
+                    out.setdefault(name, place)
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
         """(template, share, first word) for the templates that a text holds."""
         import numpy as np
 
-        whole = shingles(text, self.hashes)
+        words = word_hashes(text, self.hashes)
+        exact = spdx(text) if text and "spdx" in text.lower() else {}
+        out = [(f"spdx:{name}", 1.0, place) for name, place in exact.items()]
+        out += [(name, 1.0, place) for name, place in self.notices(words).items()]
+        whole = shingles_of(words) if self.names else words[:0]
         up, down = SHARE
         best: dict[int, tuple[float, int]] = {}
-        step = max(PIECE, 4 * self.largest) // self.largest * self.largest
+        step = max(PIECE, 4 * self.largest) // max(1, self.largest) * max(1, self.largest)
         for at in range(0, max(1, len(whole)), step):
             h = whole[at : at + step + 2 * self.largest]
             if not len(h):
@@ -169,18 +219,24 @@ class Scanner:
                     place = at + a + int(inside.argmax())
                     if t not in best or (-share, place) < (-best[t][0], best[t][1]):
                         best[t] = (share, place)
-        return [(self.names[t], share, place) for t, (share, place) in sorted(best.items())]
+        return out + [(self.names[t], share, place) for t, (share, place) in sorted(best.items())]
+
+
+@lru_cache(2)
+def scanner_of(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    """One scanner for all tasks of a worker."""
+    return Scanner(dict(templates))
 
 
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """Rows of ``doc_id, license, share, first_word`` for all matches in all whole texts."""
     small_batches(docs.sparkSession)
-    templates = dict(templates)
+    templates = tuple(sorted(templates.items()))
 
     def work(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        scanner = Scanner(templates)
+        scanner = scanner_of(templates)
         for f in frames:
             rows = [(i, *m) for i, text in zip(f["doc_id"], f["text"]) for m in scanner.scan(text)]
             if rows:

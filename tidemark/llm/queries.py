@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, copies, extraction, language, licenses, lines, mixing, neighbours, pieces, quality
+from . import archives, copies, extraction, language, license_set, licenses, lines, mixing, neighbours, pieces, quality
 from .common import table
 
 #: Name of the vocabulary file for op10 and op2, looked up among the public tokenizers.
@@ -53,7 +53,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), license_set.full_set())
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
