@@ -109,7 +109,7 @@ def trends(points: DataFrame, days: int = TREND_DAYS) -> DataFrame:
     """First against last point among the last ``days`` days of a patient's record; silent below two points."""
     last = F.max("day").over(Window.partitionBy("patient_id"))
     t = points.withColumn("record_end", last).filter(F.col("day") > F.col("record_end") - days)
-    t = t.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min_by("value", "day").alias("first_value"), F.max_by("value", "day").alias("last_value"), F.first("valence").alias("valence"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("system").alias("system"))
+    t = t.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min_by("value", "day").alias("first_value"), F.max_by("value", "day").alias("last_value"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.first("valence").alias("valence"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("system").alias("system"))
     return t.filter("n >= 2").withColumn("dir", step_direction(F.col("first_value"), F.col("last_value"), NOISE))
 
 
@@ -130,13 +130,13 @@ def clusters(moves: DataFrame, members: list[str], least: int = 3) -> DataFrame:
     return g.filter(F.col("measured") >= least).withColumn("rule", rule).filter("rule is not null").select("rule", severity.alias("severity"), "patient_id", "measured", "up", "down")
 
 
-def discordance(moves: DataFrame, one: str, other: str) -> DataFrame:
-    """Patients of whom the two systems move against each other."""
+def discordance(moves: DataFrame, one: str, other: str, least: int = 1) -> DataFrame:
+    """Patients of whom the two systems move against each other; ``least`` of the other got worse or better."""
     a, b = F.col("system") == one, F.col("system") == other
     worse, better = F.col("dir") == F.col("valence"), F.col("dir") == -F.col("valence")
     g = moves.groupBy("patient_id").agg(F.count_if(a).alias("measured"), F.count_if(a & (F.col("dir") > 0)).alias("up"), F.count_if(a & (F.col("dir") < 0)).alias("down"), F.count_if(b & worse).alias("worse"), F.count_if(b & better).alias("better"))
-    first = (F.col("down") >= 2) & (F.col("up") == 0) & (F.col("worse") >= 1)
-    second = (F.col("up") >= 2) & (F.col("better") >= 1) & (F.col("worse") == 0)
+    first = (F.col("down") >= 2) & (F.col("up") == 0) & (F.col("worse") >= least)
+    second = (F.col("up") >= 2) & (F.col("better") >= least) & (F.col("worse") == 0)
     return g.filter((F.col("measured") >= 2) & (first | second)).select("patient_id", F.when(first, "down-but-worse").otherwise("up-but-better").alias("kind"), "up", "down", "worse", "better")
 
 

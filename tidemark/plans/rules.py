@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import FAILURE, INFECTION_MARKERS, RENAL
+from ..fixed_values import FAILURE, INFECTION_MARKERS, LIVER_MARKERS, RENAL
 from ..operators import series as S
 from . import views as V
 
@@ -33,21 +33,49 @@ def escalations(scores: DataFrame, least: float = 3.0) -> DataFrame:
     return shaped(S.score_escalation(scores, least).withColumn("severity", F.lit("high")), "meld-escalation", from_day=F.col("p_day"), to_day=F.col("day"))
 
 
-def failure(moves: DataFrame) -> DataFrame:
-    return shaped(S.conjunction(moves, FAILURE).withColumn("severity", F.lit("critical")), "synthetic-failure")
+def spanned(found: DataFrame, moves: DataFrame, members: Iterable[str], moving: bool = False) -> DataFrame:
+    """Findings of patients with the days that their members' moves cover."""
+    part = moves.filter(F.col("analyte").isin(list(members)))
+    part = part.filter("dir <> 0") if moving else part
+    return found.join(part.groupBy("patient_id").agg(F.min("first_day").alias("from_day"), F.max("last_day").alias("to_day")), "patient_id")
 
 
-def renal(moves: DataFrame) -> DataFrame:
-    return shaped(S.conjunction(moves, RENAL).withColumn("severity", F.lit("high")), "renal-cluster")
+def failure(moves: DataFrame, wanted: dict[str, int] = FAILURE) -> DataFrame:
+    return shaped(spanned(S.conjunction(moves, wanted), moves, wanted).withColumn("severity", F.lit("critical")), "synthetic-failure")
 
 
-def infection(moves: DataFrame) -> DataFrame:
-    found = S.clusters(moves, INFECTION_MARKERS)
+def renal(moves: DataFrame, wanted: dict[str, int] = RENAL) -> DataFrame:
+    return shaped(spanned(S.conjunction(moves, wanted), moves, wanted).withColumn("severity", F.lit("high")), "renal-cluster")
+
+
+def infection(moves: DataFrame, members: list[str] = INFECTION_MARKERS) -> DataFrame:
+    found = spanned(S.clusters(moves, members), moves, members, moving=True)
     return shaped(found.withColumn("rule", F.concat(F.lit("infection-"), F.col("rule"))))
 
 
+def perfusion(moves: DataFrame, rising: str = "lactate") -> DataFrame:
+    """A marker that rises in the window; high if it ends above its range."""
+    above = F.when(F.col("last_value") > F.col("high"), "high").otherwise("moderate")
+    return shaped(moves.filter((F.col("analyte") == rising) & (F.col("dir") > 0)).withColumn("severity", above), "perfusion", from_day=F.col("first_day"), to_day=F.col("last_day"))
+
+
+def discordant(moves: DataFrame, one: list[str] = INFECTION_MARKERS, other: list[str] = LIVER_MARKERS, least: int = 2) -> DataFrame:
+    """Two groups of markers that move against each other."""
+    a = F.col("analyte")
+    grouped = moves.withColumn("system", F.when(a.isin(list(one)), "one").when(a.isin(list(other)), "other"))
+    return shaped(spanned(S.discordance(grouped, "one", "other", least), moves, [*one, *other]).withColumn("severity", F.lit("moderate")), "discordance")
+
+
+def low_oxygen(points: DataFrame, low_of: str = "abg_po2") -> DataFrame:
+    """A marker whose last value, of however old a day, is below its range."""
+    last = points.filter(F.col("analyte") == low_of).groupBy(*S.KEYS).agg(F.max_by(F.struct("value", "low"), "day").alias("p"), F.max("day").alias("from_day"))
+    return shaped(last.filter("p.value < p.low").withColumns({"severity": F.lit("moderate"), "to_day": F.col("from_day")}), "low-oxygen")
+
+
 #: Rules over moves of the last days; a caller may add its own.
-MOVE_RULES: list[Callable[[DataFrame], DataFrame]] = [failure, renal, infection]
+MOVE_RULES: list[Callable[[DataFrame], DataFrame]] = [failure, renal, infection, perfusion, discordant]
+#: Rules over all points.
+POINT_RULES: list[Callable[[DataFrame], DataFrame]] = [low_oxygen]
 
 
 def series_findings(points: DataFrame, obs: DataFrame) -> DataFrame:
@@ -55,12 +83,14 @@ def series_findings(points: DataFrame, obs: DataFrame) -> DataFrame:
     return shaped(V.findings(points)).unionByName(jumps(points)).unionByName(criticals(obs))
 
 
-def all_findings(points: DataFrame, obs: DataFrame, scores: DataFrame, move_rules: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def all_findings(points: DataFrame, obs: DataFrame, scores: DataFrame, move_rules: list[Callable[[DataFrame], DataFrame]] | None = None, point_rules: list[Callable[[DataFrame], DataFrame]] | None = None, least: float = 3.0) -> DataFrame:
     """Findings of every rule; ``scores`` is ``patient_id, day, score`` of complete scores."""
-    out = series_findings(points, obs).unionByName(escalations(scores))
+    out = series_findings(points, obs).unionByName(escalations(scores, least))
     moves = S.trends(points)
     for rule in MOVE_RULES if move_rules is None else move_rules:
         out = out.unionByName(rule(moves))
+    for rule in POINT_RULES if point_rules is None else point_rules:
+        out = out.unionByName(rule(points))
     return out
 
 

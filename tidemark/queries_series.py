@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .functions.exprs import fixed
 from .operators import series as S
 from .plans import rules as R
 from .plans import views as V
-from .sources.tables import OBS_SQL, POINTS_SQL, observations, read
+from .sources.tables import ANALYTES, OBS_SQL, POINTS_SQL, observations, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -366,6 +368,77 @@ def series_findings(spark, sf_dir):
     return R.series_findings(points(spark, sf_dir), observations(spark, sf_dir))
 
 
+#: The ten rules, with the events' analytes in the roles of the markers.
+NAMES = [a[0] for a in ANALYTES]
+EVENT_MOVE_RULES = [partial(R.failure, wanted={"view": 1, "click": -1}), partial(R.renal, wanted={"signup": 1, "error": -1}), partial(R.infection, members=NAMES), partial(R.perfusion, rising="view"), partial(R.discordant, one=["view", "click"], other=["signup", "error"], least=1)]
+EVENT_POINT_RULES = [partial(R.low_oxygen, low_of="error")]
+ALL_SQL = CROSS_SQL + MOVES_SQL.removeprefix(POINTS_SQL) + """,
+jumps AS (SELECT *, value - p_value AS delta, abs(value - p_value) / coalesce(nullif(abs(p_value), 0), 1) AS rel, coalesce(abs(value - p_value) > high - low, false) AS wide FROM dirs WHERE day - p_day = 1),
+kept AS (SELECT * FROM jumps j WHERE (rel > 0.5 OR wide) AND NOT EXISTS (
+  SELECT 1 FROM long_runs r WHERE r.patient_id = j.patient_id AND r.analyte = j.analyte AND j.p_day >= r.first_day AND j.day <= r.last_day AND j.rel <= 1.0)),
+best AS (SELECT *, row_number() OVER (PARTITION BY patient_id, analyte ORDER BY rel DESC, day) AS rn FROM kept),
+flags AS (SELECT patient_id, analyte, max(day) AS latest, max(day) FILTER (printed_flag IN ('CH', 'CL')) AS flagged FROM obs GROUP BY ALL),
+scores AS (SELECT patient_id, day, sum(value)::DECIMAL(18,4)::DOUBLE AS score FROM points GROUP BY ALL),
+pairs AS (SELECT b.patient_id, b.score - a.score AS rise, a.day AS p_day, b.day, a.score AS p_score FROM scores a JOIN scores b ON a.patient_id = b.patient_id AND b.day - a.day BETWEEN 1 AND 2 WHERE b.score - a.score >= 100),
+risen AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rise DESC, p_day, p_score DESC, day DESC) AS rn FROM pairs),
+spans AS (SELECT patient_id, analyte, min(day) AS first_day, max(day) AS last_day FROM ends WHERE day > record_end - 3 GROUP BY ALL),
+m AS (SELECT * FROM moves JOIN spans USING (patient_id, analyte)),
+g AS (
+  SELECT patient_id, min(first_day) AS from_day, max(last_day) AS to_day, count(*) AS measured, count(*) FILTER (dir > 0) AS up, count(*) FILTER (dir < 0) AS down,
+         min(first_day) FILTER (dir <> 0) AS moved_from, max(last_day) FILTER (dir <> 0) AS moved_to,
+         min(first_day) FILTER (analyte IN ('view', 'click')) AS a_from, max(last_day) FILTER (analyte IN ('view', 'click')) AS a_to,
+         min(first_day) FILTER (analyte IN ('signup', 'error')) AS b_from, max(last_day) FILTER (analyte IN ('signup', 'error')) AS b_to,
+         count(*) FILTER ((analyte = 'view' AND dir = 1) OR (analyte = 'click' AND dir = -1)) AS failing,
+         count(*) FILTER ((analyte = 'signup' AND dir = 1) OR (analyte = 'error' AND dir = -1)) AS renal,
+         count(*) FILTER (system = 'A') AS a_measured, count(*) FILTER (system = 'A' AND dir > 0) AS a_up, count(*) FILTER (system = 'A' AND dir < 0) AS a_down,
+         count(*) FILTER (system = 'B' AND dir = valence) AS worse, count(*) FILTER (system = 'B' AND dir = -valence) AS better
+  FROM m GROUP BY patient_id),
+ends_of AS (SELECT *, row_number() OVER (PARTITION BY patient_id, analyte ORDER BY day DESC) AS rn FROM points WHERE analyte = 'error'),
+everything AS (
+  SELECT * FROM found
+  UNION ALL SELECT 'delta-24h', CASE WHEN sign(delta) = valence AND rel > 0.5 AND wide THEN 'high' WHEN sign(delta) = valence THEN 'moderate' ELSE 'info' END, patient_id, analyte, p_day, day FROM best WHERE rn = 1
+  UNION ALL SELECT 'critical-flag', CASE WHEN latest > flagged THEN 'high' ELSE 'critical' END, patient_id, analyte, flagged, latest FROM flags WHERE flagged IS NOT NULL
+  UNION ALL SELECT 'meld-escalation', 'high', patient_id, NULL, p_day, day FROM risen WHERE rn = 1
+  UNION ALL SELECT 'synthetic-failure', 'critical', patient_id, NULL, a_from, a_to FROM g WHERE failing = 2
+  UNION ALL SELECT 'renal-cluster', 'high', patient_id, NULL, b_from, b_to FROM g WHERE renal = 2
+  UNION ALL SELECT CASE WHEN up >= 3 THEN 'infection-cluster' ELSE 'infection-improving' END, CASE WHEN up >= 4 THEN 'high' WHEN up >= 3 THEN 'moderate' ELSE 'info' END, patient_id, NULL, moved_from, moved_to
+    FROM g WHERE measured >= 3 AND (up >= 3 OR (down >= 3 AND up = 0))
+  UNION ALL SELECT 'perfusion', CASE WHEN last_value > high THEN 'high' ELSE 'moderate' END, patient_id, analyte, first_day, last_day FROM m WHERE analyte = 'view' AND dir > 0
+  UNION ALL SELECT 'discordance', 'moderate', patient_id, NULL, least(a_from, b_from), greatest(a_to, b_to)
+    FROM g WHERE a_measured >= 2 AND ((a_down >= 2 AND a_up = 0 AND worse >= 1) OR (a_up >= 2 AND better >= 1 AND worse = 0))
+  UNION ALL SELECT 'low-oxygen', 'moderate', patient_id, analyte, day, day FROM ends_of WHERE rn = 1 AND value < low)
+"""
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all ten rules, each part of which reads the points anew."""
+    p = points(spark, sf_dir)
+    scores = p.groupBy("patient_id", "day").agg(fixed(F.sum("value")).alias("score"))
+    return R.all_findings(p, observations(spark, sf_dir), scores, EVENT_MOVE_RULES, EVENT_POINT_RULES, 100.0)
+
+
+@query(ALL_SQL + "SELECT * FROM everything")
+def all_findings(spark, sf_dir):
+    return everything(spark, sf_dir)
+
+
+@query(ALL_SQL + "SELECT severity, count(*) AS n FROM everything GROUP BY ALL")
+def all_severity_counts(spark, sf_dir):
+    return everything(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query(ALL_SQL + f"""SELECT row_number() OVER (ORDER BY {RANK_SQL}, rule, analyte NULLS FIRST, patient_id, from_day)::INT AS place, severity, rule, patient_id, analyte, from_day, to_day
+FROM everything ORDER BY place LIMIT 200""")
+def all_findings_ranked(spark, sf_dir):
+    return V.ranked(everything(spark, sf_dir), 200)
+
+
+@query(ALL_SQL + f"""SELECT * FROM (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY {RANK_SQL}, from_day, rule, analyte NULLS FIRST)::INT AS place, severity, rule, analyte, from_day
+FROM everything WHERE {RANK_SQL} <= 3) WHERE place <= 18""")
+def all_findings_timeline(spark, sf_dir):
+    return V.timeline(everything(spark, sf_dir))
+
+
 @query(OBS_SQL + "SELECT patient_id, analyte, seq, day, value FROM obs WHERE day IN (1, 2, 3, 4, 5) AND analyte IN ('view', 'click', 'error') AND system IN ('A') AND interpretation <> 'N' AND contains(lower(analyte), 'ie')")
 def interactive_filter(spark, sf_dir):
     o = observations(spark, sf_dir)
