@@ -33,10 +33,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, runs_of, schema, small_batches, text_of
+from .common import SPACE_CHARS, cut, map_rows, runs_of, schema, small_batches, text_of
 from .shingles import WordHashes, mixed, shingle_set
 
 THRESHOLD = (4, 5)
@@ -241,10 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def near_copies(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Rows of ``doc_id, class_id, n_links, exact_id, n_copies`` for every document."""
-    docs = docs.select("doc_id", "text")
-    keys = cut(keyed(docs, runs_for(recall)), "copies-keys")
+def facts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Per class of equal sets: ``d1, d2, exact_id, copies, pick, root, links``; equal roots are one group of near copies."""
     named = keys.filter("n > 0")
     pick = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
     classes = cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("copies"), F.min(pick).alias("pick"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3")]), "copies-classes")
@@ -252,8 +250,15 @@ def near_copies(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     digits = [F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("d1", "d2")]
-    facts = classes.select("d1", "d2", "exact_id", "copies", F.concat(*digits).alias("node")).join(links, "node", "left").join(groups, "node", "left")
-    facts = facts.withColumn("root", F.coalesce("root", "node"))
+    facts = classes.select("d1", "d2", "exact_id", "copies", "pick", F.concat(*digits).alias("node")).join(links, "node", "left").join(groups, "node", "left")
+    return facts.withColumn("root", F.coalesce("root", "node"))
+
+
+def near_copies(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Rows of ``doc_id, class_id, n_links, exact_id, n_copies`` for every document."""
+    docs = docs.select("doc_id", "text")
+    keys = cut(keyed(docs, runs_for(recall)), "copies-keys")
+    facts = facts_of(docs, keys)
     first = facts.groupBy("root").agg(F.min("exact_id").alias("class_id"))
     facts = cut(facts.join(first, "root").select("d1", "d2", "exact_id", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "copies-facts")
     joined = keys.select("doc_id", "d1", "d2", "n").join(facts, ["d1", "d2"], "left")
@@ -262,12 +267,22 @@ def near_copies(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """``docs``, all columns, with one document of each group of near copies: the smallest id.
+    """``docs``, all columns, with one row of each group of near copies: the smallest id, then the smallest hash of the text.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Rows without an id come last in their group.  Rows that repeat an id with texts that are no copies all stay.  Texts without
+    words are no copies; of rows that repeat such a text with an id one stays.
     """
-    groups = near_copies(docs, recall).filter("doc_id = class_id").select(F.col("doc_id").alias("tm_id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(groups, F.col("doc_id") == F.col("tm_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("tm_row", F.row_number().over(first)).filter("tm_row = 1").drop("tm_row")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    texts = docs.select("doc_id", "text")
+    keys = cut(keyed(texts, runs_for(recall)), "copies-keys")
+    facts = facts_of(texts, keys)
+    chosen = facts.groupBy("root").agg(F.min("pick").alias("pick")).select(F.col("pick.doc_id").alias("tm_id"), F.col("pick.mark").alias("tm_is")).distinct()
+    text = text_of(docs)
+    marked = docs.withColumns({"tm_mark": F.xxhash64(text), "tm_blank": F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)) == "", F.lit(True))})
+    kept = marked.filter("not tm_blank").join(chosen, F.col("doc_id").eqNullSafe(F.col("tm_id")) & (F.col("tm_mark") == F.col("tm_is")), "left_semi")
+    one = kept.unionByName(marked.filter("tm_blank and doc_id is not null"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ordered = [F.col(c) for c in rest if "map<" not in docs.schema[c].dataType.simpleString()]
+    # By partial sums and not by a window, so that a text that many rows repeat is no task of its own.
+    one = one.groupBy("doc_id", "tm_mark", "text").agg(F.min_by(F.struct(F.lit(0).alias("tm_none"), *rest), F.struct(F.lit(0), *ordered)).alias("tm_row"))
+    one = one.select("doc_id", "text", "tm_row.*").select(*docs.columns)
+    return one.unionByName(marked.filter("tm_blank and doc_id is null").select(*docs.columns))
