@@ -6,7 +6,10 @@ scripts, styles and reader comments, by element, role, or words of class and id.
 paragraph passes points for its length and its commas to its ancestors, halved and
 thirded on the way up; a container's points are discounted by the share of its text
 inside links.  The best container is kept with those of its siblings that score like it
-or read like it, and an enclosing article or main element counts as the container.
+or hold running text, and an enclosing article or main element counts as the container;
+of several articles outside a main element all with running text are kept.  Inside an
+article a part goes by its name only if the name has no other words or if the part is
+short or mostly links.
 
 Text is put out by blocks: character references decoded, white space turned into one
 space, blocks in page order joined by an empty line; nothing else is dropped or capped.
@@ -53,6 +56,10 @@ NEVER = set("nav footer aside form head noscript template svg math canvas button
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class or id that mark a part as something other than the article.
 NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion related replies reply respond rss share sharing shares sidebar sidebars skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
+#: Words that say nothing of their own beside those.
+NEUTRAL = set("area articles bar block body bottom box button buttons container content count form icons inner item items left links list main outer panel posts right section stories thread top wrap wrapper".split())
+#: What reads like running text has so many characters and less than this share inside links.
+RUNNING, DENSITY = 80, 0.25
 SAFE = set("html body article main".split())
 PARAGRAPHS = set("p pre td blockquote li dd div section article main body".split())
 LEAST = 25
@@ -154,7 +161,30 @@ def left_out(node: Node, in_article: bool) -> bool:
     if node.tag in SAFE or node.tag in HEADINGS or node.tag in ("b", "i", "em", "strong", "span", "a") and node.kids and in_article and not set(NAME_PART.findall((found.get("class", "") + " " + found.get("id", "")).lower())) & {"ad", "ads", "advert"}:
         return False
     parts = set(NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", "")).lower()))
-    return bool(parts & NAMES) or {"side", "bar"} <= parts
+    if {"side", "bar"} <= parts:
+        return True
+    # In an article a name with words of its own, such as related-work, may be a subject.
+    return bool(parts & NAMES) and not (in_article and any(p not in NAMES and p not in NEUTRAL and not p.isdigit() for p in parts) and prose(node))
+
+
+def prose(node: Node) -> bool:
+    """Whether a part that has no sizes yet holds running text."""
+    chars = linked = 0
+    text, stack = [], [(node, False)]
+    while stack:
+        k, inside = stack.pop()
+        if isinstance(k, str):
+            n = len(SPACE.sub(" ", k).strip())
+            chars, linked = chars + n, linked + n * inside
+            text.append(k)
+        elif k.tag not in NEVER:
+            stack += [(x, inside or k.tag == "a") for x in k.kids]
+    return chars >= RUNNING and linked < DENSITY * chars and any(re.search(r"[.!?\u3002]", t) for t in text)
+
+
+def running(node: Node) -> bool:
+    """Whether a scored part holds running text."""
+    return node.points > 0 and prose(node)
 
 
 def prune(root: Node) -> None:
@@ -222,6 +252,12 @@ def container(order: list[Node]) -> list[Node]:
         if node.tag in ("article", "main"):
             best = node
         node = node.parent
+    if best.tag == "article":  # all outermost articles of the page that hold running text
+        inside: set[int] = set()
+        for n in order:  # parents first
+            if n.parent is not None and (n.parent.tag == "article" or id(n.parent) in inside):
+                inside.add(id(n))
+        return [n for n in order if n is best or n.tag == "article" and id(n) not in inside and running(n)]
     if best.tag in SAFE or best.parent is None:
         return [best]
     least = max(10.0, final(best) * 0.2)
@@ -230,7 +266,7 @@ def container(order: list[Node]) -> list[Node]:
         if isinstance(k, str):
             continue
         density = k.linked / max(1, k.chars)
-        if k is best or final(k) >= least or k.tag in HEADINGS or k.tag == "p" and density < 0.25 and k.chars > 0:
+        if k is best or final(k) >= least or k.tag in HEADINGS or k.tag == "p" and density < DENSITY and k.chars > 0 or running(k):
             kept.append(k)
     return kept
 
