@@ -80,7 +80,16 @@ def pivot_days(points: DataFrame, days: list[int], value: str = "value") -> Data
 
 
 def heatmap(points: DataFrame, days: list[int]) -> DataFrame:
-    return pivot_days(points.withColumn("fold", fixed(heat_fold(F.col("value"), F.col("low"), F.col("high")), 2)), days, "fold")
+    return pivot_days(heat_folds(points), days, "fold")
+
+
+def heat_folds(points: DataFrame) -> DataFrame:
+    return points.withColumn("fold", fixed(heat_fold(F.col("value"), F.col("low"), F.col("high")), 2))
+
+
+def by_day(points: DataFrame, value: str = "value") -> DataFrame:
+    """Series by day as rows, whatever the days are."""
+    return points.select(*KEYS, "day", value)
 
 
 def strips(points: DataFrame) -> DataFrame:

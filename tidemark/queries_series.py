@@ -304,6 +304,18 @@ def heatmap_fold(spark, sf_dir):
     return V.heatmap(points(spark, sf_dir), DAYS)
 
 
+@query(POINTS_SQL + "SELECT patient_id, analyte, day, value FROM points")
+def matrix_days(spark, sf_dir):
+    """The matrix by rows of day and value, for tables of any number of days."""
+    return V.by_day(points(spark, sf_dir))
+
+
+@query(POINTS_SQL + f"SELECT patient_id, analyte, day, ({HEAT})::DECIMAL(18,2)::DOUBLE AS fold FROM points")
+def heatmap_days(spark, sf_dir):
+    """The heatmap by rows of day and fold, for tables of any number of days."""
+    return V.by_day(V.heat_folds(points(spark, sf_dir)), "fold")
+
+
 @query(POINTS_SQL + f""", o AS (SELECT *, coalesce(NOT ({IN_RANGE_SQL}), false) AS gone FROM points),
 g AS (SELECT patient_id, analyte, count(*) AS n, count(*) FILTER (gone) AS out_n, arg_max(value, day) AS latest, arg_min(value, day) AS first_value, any_value(low) AS low, any_value(high) AS high FROM o GROUP BY ALL)
 SELECT patient_id, analyte, n, out_n, latest, (abs(latest - first_value) / coalesce(nullif(high - low, 0), nullif(abs(high), 0), nullif(abs(first_value), 0), 1))::DECIMAL(18,4)::DOUBLE AS magnitude FROM g""")
