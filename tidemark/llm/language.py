@@ -75,12 +75,46 @@ class Pieces:
         return out
 
 
+def expected(lattice: list[list[tuple[int, int]]], p: list[float]) -> Iterator[tuple[int, float]]:
+    """Pieces of a word of any length with how often each is expected, by scaled passes.
+
+    Sums are kept as mantissas with a binary exponent each, so that none underflows.
+    """
+    frexp, ldexp = math.frexp, math.ldexp
+    size = len(lattice)
+
+    def total(terms: list[tuple[float, int]]) -> tuple[float, int]:
+        top = max((e for _, e in terms), default=0)
+        m, e = frexp(sum(ldexp(x, y - top) for x, y in terms))
+        return m, e + top
+
+    ahead = [(1.0, 0)]
+    for found in lattice:
+        ahead.append(total([(ahead[start][0] * p[k], ahead[start][1]) for start, k in found]))
+    into: list[list[tuple[float, int]]] = [[] for _ in range(size)]
+    behind = [(1.0, 0)] * (size + 1)
+    for end in range(size - 1, -1, -1):
+        if end + 1 < size:
+            behind[end + 1] = total(into[end + 1])
+        b, e = behind[end + 1]
+        for start, k in lattice[end]:
+            into[start].append((b * p[k], e))
+    whole, scale = ahead[size]
+    for end, found in enumerate(lattice):
+        b, e = behind[end + 1]
+        for start, k in found:
+            if k >= 0:
+                a, f = ahead[start]
+                yield k, ldexp(a * p[k] * b / whole, e + f - scale)
+
+
 def learn(pieces: Pieces, counts: dict[str, int], rounds: int = ROUNDS) -> list[float]:
-    """Piece probabilities from the word counts of one language."""
+    """Piece probabilities from the word counts of one language, words of any length included."""
     n = len(pieces.names)
     lattices = [(pieces.matches(w), c) for w, c in counts.items() if len(w) <= CACHE_CHARS]
+    long = [(pieces.matches(w), c) for w, c in counts.items() if len(w) > CACHE_CHARS]
     seen = [0.0] * n
-    for lattice, c in lattices:
+    for lattice, c in lattices + long:
         for end, found in enumerate(lattice):
             for start, k in found:
                 if k >= 0:
@@ -107,6 +141,9 @@ def learn(pieces: Pieces, counts: dict[str, int], rounds: int = ROUNDS) -> list[
                     for start, k in found:
                         if k >= 0:
                             seen[k] += ahead[start] * p[k] * b
+        for lattice, c in long:
+            for k, x in expected(lattice, p):
+                seen[k] += c * x
     total = sum(seen) + SMOOTH * n
     return [(x + SMOOTH) / total for x in seen]
 
