@@ -1,43 +1,56 @@
 """Main text of web pages by scoring their trees.
 
-The page becomes a tree (tags may be unclosed or misnested).  Parts that are never
-article text are left out: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, by element, role, or words of class and id.  Every
-paragraph passes points for its length and its commas to its ancestors, halved and
-thirded on the way up; a container's points are discounted by the share of its text
-inside links.  The best container is kept with those of its siblings that score like it
-or hold running text, and an enclosing article or main element counts as the container;
-of several articles outside a main element all with running text are kept.  Inside an
-article a part goes by its name only if the name has no other words or if the part is
-short or mostly links.
+The page becomes a tree in one pass (tags may be unclosed or misnested).  Scripts, styles
+and other elements without text go at once.  Every paragraph passes points for its length
+and its commas to its ancestors, halved and thirded on the way up; a container's points
+are discounted by the share of its text inside links.  The best container is kept with
+those of its siblings, and of its ancestors' siblings, that score like it or hold running
+text, with loose text between them; an enclosing article or main element counts as the
+container, and of several articles outside a main element all that aren't mostly links
+are kept.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are told
+by element, role, and words of class and id, and weighed by what they hold:
+
+* navigation, footers, asides, dialogs, hidden parts and reader comments go, unless no
+  other text of the page is left; then the one with most running text is taken,
+* forms, headers, and parts with any other such name go, unless they hold a main element
+  or more than half of the page's running text: then they are wrappers of the article,
+* a name that has other words of its own (``related-work``, ``ad-free``) only counts where
+  the part doesn't read like running text; ``has-sidebar`` and its like are layout.
 
 Text is put out by blocks: character references decoded, white space turned into one
 space, blocks in page order joined by an empty line; nothing else is dropped or capped.
+Time and memory are in proportion to the page.
 
-Defined results: null and empty pages, and pages without text, give an empty text;
-repeated rows give repeated results.
+Defined results: null and empty pages, and pages without text, give an empty text; of
+containers with equal points the first one counts; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, map_rows, small_batches
+from .common import SPACE_CLASS, map_rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(SPACE_CLASS + "+")
-NAME_PART = re.compile(r"[a-z0-9]+")
+HUMP = re.compile(r"([a-z])([A-Z])")
+NAME_PART = re.compile(r"[a-z]+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+SENTENCE = re.compile(r"[.!?。]")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What a head may hold; anything else ends it.
+IN_HEAD = set("base link meta noscript script style template title".split())
 #: An opening tag ends open elements of the second set, up to an element of the third.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -49,56 +62,78 @@ ENDS = {
     "tbody": (("tbody", "thead", "tfoot", "caption"), ("table",)),
     "tfoot": (("tbody", "thead", "caption"), ("table",)),
     "option": (("option",), ("select",)),
-    "body": (("head",), ("html",)),
 }
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-NEVER = set("nav footer aside form head noscript template svg math canvas button select datalist dialog menu object audio video map script style textarea title xmp iframe noembed noframes".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+TABLE_PARTS = set("table tbody thead tfoot tr td th caption".split())
+#: Elements without text of the article.
+ALWAYS = set("head noscript template svg math canvas button select datalist object audio video map script style textarea title xmp iframe noembed noframes".split())
+ASIDE = set("nav footer aside dialog menu".split())
+ROLES = set("navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+WEAK_ROLES = set("banner form".split())
 #: Words of class or id that mark a part as something other than the article.
-NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion related replies reply respond rss share sharing shares sidebar sidebars skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
+COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+NAMES = COMMENTS | set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion related rss share sharing shares sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar".split())
+#: Page builders name parts of articles so, too.
+WEAK_NAMES = set("widget widgets".split())
 #: Words that say nothing of their own beside those.
-NEUTRAL = set("area articles bar block body bottom box button buttons container content count form icons inner item items left links list main outer panel posts right section stories thread top wrap wrapper".split())
+NEUTRAL = set("area article articles bar block blog body bottom box button buttons container content count form icons inner item items label left link links list main module outer page panel post posts reader readers right section site slot space stories story text thread title top unit user users wrap wrapper zone".split())
+#: First words of names that tell of a layout.
+STATES = set("no has with without hide".split())
 #: What reads like running text has so many characters and less than this share inside links.
 RUNNING, DENSITY = 80, 0.25
+#: A part that is otherwise left out needs so many characters of running text to stand for the page.
+ALONE = 250
 SAFE = set("html body article main".split())
+INLINE_NAMED = set("b i em strong span a".split())
 PARAGRAPHS = set("p pre td blockquote li dd div section article main body".split())
 LEAST = 25
 
+KEEP, LIKELY, SURE = 0, 1, 2
+
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "points", "chars", "linked")
+    """An element: ``worth`` is the running text it holds, ``chars`` and ``linked`` its characters, all and inside links."""
+
+    __slots__ = ("tag", "attrs", "parent", "kids", "points", "chars", "linked", "sentence", "worth", "judged", "inside", "holds_main")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-        self.points = 0.0
+        self.points = self.worth = 0.0
         self.chars = self.linked = 0
+        self.sentence = self.inside = self.holds_main = False
+        self.judged = KEEP
 
 
 def parse(page: str) -> Node:
     """The tree of a page; kids are nodes and texts with references decoded."""
     root = Node("html", "", None)
-    top, opened, at = root, Counter(), 0
-
-    def close(until: Node) -> None:
-        nonlocal top
-        while top is not until:
-            opened[top.tag] -= 1
-            top = top.parent
-
-    def nearest(tags, stops) -> Node | None:
-        node = top
-        while node is not root and node.tag not in stops:
-            if node.tag in tags:
-                return node
-            node = node.parent
-        return None
-
-    n = len(page)
+    open_nodes = [root]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in open_nodes
+    block_places: list[int] = []
+
+    def close(down_to: int) -> None:
+        while len(open_nodes) > down_to:
+            tag = open_nodes.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def nearest(tags, stops) -> int:
+        at = last(tags)
+        return at if at > last(stops) else 0
+
+    at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         start = m.start() if m else n
         if start > at:
-            top.kids.append(references.unescape(page[at:start]))
+            text = references.unescape(page[at:start])
+            if open_nodes[-1].tag == "head" and not text.isspace():
+                close(len(open_nodes) - 1)
+            open_nodes[-1].kids.append(text)
         if not m:
             break
         at = m.end()
@@ -106,28 +141,28 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if opened[tag] > 0 and tag not in ("html", "body"):
-                node = top
-                while node.tag != tag:
-                    if node.tag in BLOCK and tag not in BLOCK or node.tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot") and tag not in BLOCK:
-                        node = None
-                        break
-                    node = node.parent
-                if node is not None:
-                    close(node.parent)
+            place = last((tag,))
+            if place and tag != "body":
+                barrier = last(("td", "th", "caption", "table")) if tag not in TABLE_PARTS else 0
+                if tag not in BLOCK and block_places:
+                    barrier = max(barrier, block_places[-1])
+                if barrier <= place:
+                    close(place)
             continue
         if tag == "html":
             continue
-        if tag in BLOCK and opened["p"] > 0 and (p := nearest(("p",), ("td", "th", "button", "object", "table"))):
-            close(p.parent)
+        if tag not in IN_HEAD and places.get("head"):
+            close(places["head"][-1])
+        if tag in BLOCK and places.get("p") and (p := nearest(("p",), ("td", "th", "button", "object", "table"))):
+            close(p)
         if tag in ENDS and (old := nearest(*ENDS[tag])):
-            while old.parent is not root and old.parent.tag in ENDS[tag][0]:
-                old = old.parent
-            close(old.parent)
-        elif tag in HEADINGS and top.tag in HEADINGS:
-            close(top.parent)
-        node = Node(tag, m[3], top)
-        top.kids.append(node)
+            while old > 1 and open_nodes[old - 1].tag in ENDS[tag][0]:
+                old -= 1
+            close(old)
+        elif tag in HEADINGS and open_nodes[-1].tag in HEADINGS:
+            close(len(open_nodes) - 1)
+        node = Node(tag, m[3], open_nodes[-1])
+        open_nodes[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else n
@@ -135,9 +170,11 @@ def parse(page: str) -> Node:
                 at = gt + 1
             elif end:
                 at = n
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
-            opened[tag] += 1
-            top = node
+        elif tag not in VOID and (tag in BLOCK or not m[3].rstrip().endswith("/")):
+            places.setdefault(tag, []).append(len(open_nodes))
+            if tag in BLOCK:
+                block_places.append(len(open_nodes))
+            open_nodes.append(node)
     return root
 
 
@@ -145,79 +182,144 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
 
 
-def left_out(node: Node, in_article: bool) -> bool:
-    """Whether a part is something other than the article."""
-    if node.tag in NEVER:
-        return True
-    if node.tag == "header":
-        return not in_article
-    found = attributes(node.attrs)
-    if not found:
-        return False
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
-        return node.tag not in ("html", "body")
-    if found.get("role", "").lower() in ROLES:
-        return True
-    if node.tag in SAFE or node.tag in HEADINGS or node.tag in ("b", "i", "em", "strong", "span", "a") and node.kids and in_article and not set(NAME_PART.findall((found.get("class", "") + " " + found.get("id", "")).lower())) & {"ad", "ads", "advert"}:
-        return False
-    parts = set(NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", "")).lower()))
-    if {"side", "bar"} <= parts:
-        return True
-    # In an article a name with words of its own, such as related-work, may be a subject.
-    return bool(parts & NAMES) and not (in_article and any(p not in NAMES and p not in NEUTRAL and not p.isdigit() for p in parts) and prose(node))
+def name_of(found: dict[str, str]) -> tuple[int, bool, set[str]]:
+    """What class and id say: a judgement, whether the name has words of its own, and all words."""
+    judged, own, words = KEEP, False, set()
+    for token in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = NAME_PART.findall(HUMP.sub(r"\1 \2", token).lower())
+        words.update(parts)
+        if "side" in parts and "bar" in parts:
+            parts = ["sidebar"]
+        named = [p for p in parts if p in NAMES or p in WEAK_NAMES]
+        if not named or parts[0] in STATES:
+            continue
+        telling = [p for p in parts if p not in NEUTRAL]
+        head = telling[-1]
+        judged = max(judged, SURE if head in COMMENTS and telling == named else LIKELY)
+        own |= head not in NAMES or any(p not in NAMES and p not in WEAK_NAMES for p in telling)
+    return judged, own, words
 
 
-def prose(node: Node) -> bool:
-    """Whether a part that has no sizes yet holds running text."""
-    chars = linked = 0
-    text, stack = [], [(node, False)]
+def order_of(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order."""
+    order, stack = [], [root]
     while stack:
-        k, inside = stack.pop()
-        if isinstance(k, str):
-            n = len(SPACE.sub(" ", k).strip())
-            chars, linked = chars + n, linked + n * inside
-            text.append(k)
-        elif k.tag not in NEVER:
-            stack += [(x, inside or k.tag == "a") for x in k.kids]
-    return chars >= RUNNING and linked < DENSITY * chars and any(re.search(r"[.!?\u3002]", t) for t in text)
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return order
 
 
-def running(node: Node) -> bool:
-    """Whether a scored part holds running text."""
-    return node.points > 0 and prose(node)
+def strip(root: Node) -> None:
+    """Take off elements that never hold text of the article."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in ALWAYS]
+        stack += [k for k in node.kids if isinstance(k, Node)]
 
 
-def prune(root: Node) -> None:
-    """Take left-out parts off the tree."""
-    stack = [(root, False)]
+def size(order: list[Node]) -> None:
+    """Characters, characters inside links, and whether there is a sentence, for all nodes."""
+    for node in reversed(order):
+        node.chars = node.linked = 0
+        node.sentence = node.holds_main = False
+        for k in node.kids:
+            if isinstance(k, str):
+                node.chars += len(SPACE.sub(" ", k).strip())
+                node.sentence = node.sentence or SENTENCE.search(k) is not None
+            else:
+                node.chars += k.chars
+                node.linked += k.linked
+                node.sentence = node.sentence or k.sentence
+                node.holds_main = node.holds_main or k.holds_main or k.tag == "main" and k.chars > 0
+        if node.tag == "a":
+            node.linked = node.chars
+
+
+def prose(node: Node) -> bool:
+    """Whether a part reads like running text."""
+    return node.chars >= RUNNING and node.linked < DENSITY * node.chars and node.sentence
+
+
+def judge(node: Node) -> int:
+    """How sure it is that a part is something other than the article, by what it is called."""
+    if node.tag in ASIDE:
+        return SURE
+    if node.tag == "header":
+        return KEEP if node.inside else LIKELY
+    judged = LIKELY if node.tag == "form" else KEEP
+    found = attributes(node.attrs)
+    if not found:
+        return judged
+    if node.tag not in ("html", "body") and ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDING.search(found.get("style", "").lower())):
+        return SURE
+    role = found.get("role", "").lower()
+    if role in ROLES or role in WEAK_ROLES:
+        return SURE if role in ROLES else LIKELY
+    if node.tag in SAFE or node.tag in HEADINGS:
+        return judged
+    by_name, own, words = name_of(found)
+    if by_name == KEEP or node.inside and node.tag in INLINE_NAMED and not words & {"ad", "ads", "advert"}:
+        return judged
+    return judged if own and prose(node) and by_name != SURE else max(judged, by_name)
+
+
+def own_text(node: Node) -> str:
+    """The text directly in a paragraph, empty where it is too short to count."""
+    text = " ".join(inline_text(node)) if node.tag in PARAGRAPHS else ""
+    return text if len(text) >= LEAST else ""
+
+
+def share(node: Node) -> float:
+    """The share of a part's text that is not inside links."""
+    return 1 - node.linked / max(1, node.chars)
+
+
+def prune(root: Node) -> Node:
+    """Take parts off the tree that are something other than the article; the root of what is left."""
+    order = order_of(root)
+    size(order)
+    for node in order:
+        up = node.parent
+        node.inside = node.tag in ("article", "main") or up is not None and up.inside
+        node.judged = judge(node)
+    for node in reversed(order):
+        node.worth = len(own_text(node)) * share(node) + sum(k.worth for k in node.kids if isinstance(k, Node) and k.judged != SURE)
+    taken: list[Node] = []
+
+    def stays(node: Node) -> bool:
+        if node.judged == KEEP or node.judged == LIKELY and (node.holds_main or 2 * node.worth > root.worth):
+            return True
+        taken.append(node)
+        return False
+
+    stack = [root]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        if node.tag == "header":  # of an article: its headings are the article's
+        node = stack.pop()
+        if node.tag == "header" and node.inside:  # of an article: its headings are the article's
             node.kids = [k for k in node.kids if isinstance(k, Node) and (k.tag in HEADINGS or k.tag in ("hgroup", "div"))]
-        node.kids = [k for k in node.kids if isinstance(k, str) or not left_out(k, inside)]
-        stack += [(k, inside) for k in node.kids if isinstance(k, Node)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or stays(k)]
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    left = order_of(root)
+    size(left)
+    if not root.chars and taken:
+        place = {id(k): i for i, k in enumerate(order)}
+        most = max(taken, key=lambda k: (k.worth, -place[id(k)]))
+        if most.worth >= ALONE:
+            most.parent = None
+            return most
+    return root
 
 
 def score(root: Node) -> list[Node]:
     """Give all containers their points; all nodes, parents first."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    for node in reversed(order):
-        own = sum(len(SPACE.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
-        node.chars = own + sum(k.chars for k in node.kids if isinstance(k, Node))
-        node.linked = node.chars if node.tag == "a" else sum(k.linked for k in node.kids if isinstance(k, Node))
+    order = order_of(root)
+    size(order)
     for node in order:
-        if node.tag not in PARAGRAPHS:
-            continue
-        text = " ".join(inline_text(node))
-        if len(text) < LEAST:
+        if not (text := own_text(node)):
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - node.linked / max(1, node.chars)
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * share(node)
         up, level = node if node.tag in ("div", "section", "article", "main", "body") else node.parent, 1
         while up is not None and level <= 5:
             up.points += points / level
@@ -239,7 +341,27 @@ def inline_text(node: Node) -> list[str]:
 
 
 def final(node: Node) -> float:
-    return node.points * (1 - node.linked / max(1, node.chars))
+    return node.points * share(node)
+
+
+def runs(kids: list) -> list[Node]:
+    """Blocks of a list of kids, and what lies loose between two blocks as a paragraph."""
+    out: list[Node] = []
+    loose: Node | None = None
+    for k in kids:
+        if isinstance(k, Node) and k.tag in BLOCK:
+            out.append(k)
+            loose = None
+            continue
+        if loose is None:
+            out.append(loose := Node("p", "", None))
+        loose.kids.append(k)
+        if isinstance(k, str):
+            loose.chars += len(SPACE.sub(" ", k).strip())
+        else:
+            loose.chars += k.chars
+            loose.linked += k.linked
+    return out
 
 
 def container(order: list[Node]) -> list[Node]:
@@ -252,22 +374,24 @@ def container(order: list[Node]) -> list[Node]:
         if node.tag in ("article", "main"):
             best = node
         node = node.parent
-    if best.tag == "article":  # all outermost articles of the page that hold running text
-        inside: set[int] = set()
+    if best.tag == "article":  # all outermost articles of the page
+        within: set[int] = set()
         for n in order:  # parents first
-            if n.parent is not None and (n.parent.tag == "article" or id(n.parent) in inside):
-                inside.add(id(n))
-        return [n for n in order if n is best or n.tag == "article" and id(n) not in inside and running(n)]
-    if best.tag in SAFE or best.parent is None:
-        return [best]
+            if n.parent is not None and (n.parent.tag == "article" or id(n.parent) in within):
+                within.add(id(n))
+        return [n for n in order if n is best or n.tag == "article" and id(n) not in within and n.chars > 0 and share(n) > 0.5]
     least = max(10.0, final(best) * 0.2)
-    kept = []
-    for k in best.parent.kids:
-        if isinstance(k, str):
-            continue
-        density = k.linked / max(1, k.chars)
-        if k is best or final(k) >= least or k.tag in HEADINGS or k.tag == "p" and density < DENSITY and k.chars > 0 or running(k):
-            kept.append(k)
+    kept, level = [best], 0
+    while best.tag not in SAFE and best.parent is not None:
+        around: list[Node] = []
+        for k in runs(best.parent.kids):
+            if k is best or best in k.kids:
+                around += kept
+            elif final(k) >= least or k.tag in HEADINGS or k.points > 0 and prose(k):
+                around.append(k)
+            elif not level and k.tag == "p" and k.chars > 0 and share(k) > 0.5:
+                around.append(k)
+        kept, best, level = around, best.parent, level + 1
     return kept
 
 
@@ -306,13 +430,12 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    prune(root)
-    return "\n\n".join(blocks(container(score(root))))
+    strip(root)
+    return "\n\n".join(blocks(container(score(prune(root)))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows of ``page_id, url, text, n_chars`` for all pages."""
-    small_batches(pages.sparkSession)
 
     def work(frames: Iterator) -> Iterator:
         for f in frames:
