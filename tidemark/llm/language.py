@@ -6,8 +6,10 @@ forward pass over the matches of an automaton; a text's is the product over its
 Piece probabilities come from labelled training texts by expectation maximisation over
 the same sums.  The score is the posterior of the predicted language with equal priors.
 
-Training takes a bounded sample: for each language about ``TRAIN_DOCS`` whole documents,
-those with the smallest hashes of their ids.  Everything else sees all documents.
+Training takes a bounded sample: for each language at most ``TRAIN_DOCS`` whole documents,
+those with the smallest hashes of their ids, one text of each id.  Only rows below a bound
+on the hash, which holds about twice the sample whatever the table's size, are brought
+together.  Everything else sees all documents.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0, as is
 every text if no language could be learned; documents without an id are not held out and
@@ -31,7 +33,6 @@ from .common import map_rows, schema, small_batches
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 TRAIN_DOCS = 400
-HASH_BUCKETS = 65_536
 ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTH = 0.02
@@ -209,14 +210,15 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, model_file: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[list[float]]]:
     """Languages and their piece probabilities, from documents that are not held out."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_BUCKETS))
-    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    seen = usable.groupBy("lang", bucket.alias("b")).count()
-    upto = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    last = seen.withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0))).filter(F.col("before") < train_docs).groupBy("lang").agg(F.max("b").alias("b")).collect()
-    chosen = F.lit(False)
-    for lang, b in last:
-        chosen = chosen | ((F.col("lang") == F.lit(lang)) & (bucket <= b))
+    usable = docs.select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held")).filter("lang is not null and text is not null and not held")
+    usable = usable.filter(docs["doc_id"].isNotNull())
+    near = F.lit(False)
+    for lang, n in usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect():
+        share = min(1.0, 2 * train_docs / max(1, n))
+        near = near | ((F.col("lang") == F.lit(lang)) & (F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
+    found = usable.filter(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= train_docs).select("lang", "text")
 
     def count(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -228,7 +230,6 @@ def train(docs: DataFrame, model_file: str, train_docs: int = TRAIN_DOCS) -> tup
         for lang, c in found.items():
             yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
-    sample = usable.filter(chosen & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in sample.mapInPandas(count, schema(lang="string", word="string", n="long")).groupBy("lang", "word").agg(F.sum("n")).collect():
         counts.setdefault(lang, {})[word] = n
