@@ -64,7 +64,38 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.tm_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame from :func:`cut` that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.tm_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others as ``tm_rest``, so that no name of theirs can clash."""
+    rest = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns) if c not in own]
+    return df.select(*own, F.struct(F.lit(0).alias("none"), *rest).alias("tm_rest"))
+
+
+def unpacked(columns: list[str], *own: str) -> list[Column]:
+    """The columns that :func:`packed` put away, with ``own`` among them, in their order."""
+    return [F.col(c) if c in own else F.col(f"tm_rest.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of ``columns``."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, map_rows, runs_of, schema, small_batches, text_of
+from .common import SPACE_CHARS, cut, discard, map_rows, packed, runs_of, schema, small_batches, text_of, unpacked
 from .shingles import WordHashes, mixed, shingle_set
 
 THRESHOLD = (4, 5)
@@ -228,11 +228,15 @@ def components(edges: DataFrame) -> DataFrame:
     was = mark(e)
     while True:
         near = both(e)
-        least = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        e = cut(near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(least, "u")
-        e = cut(star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "components")
+        # As tables of their own, so that a hot root's rows on the other side can be split over tasks.
+        least = cut(near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "components-least")
+        large = cut(near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        least2 = cut(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+        star = large.join(least2, "u")
+        small = cut(star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "components")
+        for old in (e, least, large, least2):
+            discard(old)
+        e = small
         now = mark(e)
         if now == was:
             break
@@ -276,13 +280,13 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     keys = cut(keyed(texts, runs_for(recall)), "copies-keys")
     facts = facts_of(texts, keys)
     chosen = facts.groupBy("root").agg(F.min("pick").alias("pick")).select(F.col("pick.doc_id").alias("tm_id"), F.col("pick.mark").alias("tm_is")).distinct()
-    text = text_of(docs)
-    marked = docs.withColumns({"tm_mark": F.xxhash64(text), "tm_blank": F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)) == "", F.lit(True))})
+    own = packed(docs, "doc_id", "text")
+    text = text_of(own)
+    marked = own.withColumns({"tm_mark": F.xxhash64(text), "tm_blank": F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)) == "", F.lit(True))})
     kept = marked.filter("not tm_blank").join(chosen, F.col("doc_id").eqNullSafe(F.col("tm_id")) & (F.col("tm_mark") == F.col("tm_is")), "left_semi")
     one = kept.unionByName(marked.filter("tm_blank and doc_id is not null"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    ordered = [F.col(c) for c in rest if "map<" not in docs.schema[c].dataType.simpleString()]
+    ordered = [F.col(f"tm_rest.c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text") and "map<" not in docs.schema[i].dataType.simpleString()]
     # By partial sums and not by a window, so that a text that many rows repeat is no task of its own.
-    one = one.groupBy("doc_id", "tm_mark", "text").agg(F.min_by(F.struct(F.lit(0).alias("tm_none"), *rest), F.struct(F.lit(0), *ordered)).alias("tm_row"))
-    one = one.select("doc_id", "text", "tm_row.*").select(*docs.columns)
-    return one.unionByName(marked.filter("tm_blank and doc_id is null").select(*docs.columns))
+    one = one.groupBy("doc_id", "tm_mark", "text").agg(F.min_by("tm_rest", F.struct(F.lit(0), *ordered)).alias("tm_rest"))
+    back = unpacked(docs.columns, "doc_id", "text")
+    return one.select(*back).unionByName(marked.filter("tm_blank and doc_id is null").select(*back))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, text_of
+from .common import SPACE_CHARS, cut, free_name, packed, text_of, unpacked
 
 MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,16 +73,18 @@ def _without(text: Column, lost: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with all its columns, ``text`` without repeated lines, and ``tm_n_lines``, ``tm_n_dropped``."""
+    """``docs`` with all its columns, ``text`` without repeated lines, and ``tm_n_lines``, ``tm_n_dropped``.
+
+    The two counts get underscores at their ends where ``docs`` has such columns.
+    """
     lost = lost_positions(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").alias("tm_id"), F.col("mark").alias("tm_mark"), F.col("lost").alias("tm_lost"))
-    text = text_of(docs)
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["tm_id"]) & (F.xxhash64(text) == lost["tm_mark"]), "left")
+    own = packed(docs, "doc_id", "text")
+    joined = own.join(lost, own["doc_id"].eqNullSafe(lost["tm_id"]) & (F.xxhash64(text_of(own)) == lost["tm_mark"]), "left")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = F.when(F.col("tm_lost").isNull(), F.col("text")).otherwise(_without(whole, F.col("tm_lost")))
     counts = {"tm_n_lines": F.size(split_lines(whole)).cast("long"), "tm_n_dropped": F.coalesce(F.size("tm_lost"), F.lit(0)).cast("long")}
-    if "text" in docs.columns:
-        columns = [kept.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, *[v.alias(k) for k, v in counts.items()])
+    columns = [kept.alias("text") if c == "text" else v for c, v in zip(docs.columns, unpacked(docs.columns, "doc_id", "text"))]
+    return joined.select(*columns, *[v.alias(free_name(docs.columns, k)) for k, v in counts.items()])
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -12,7 +12,8 @@ range.  Only a few numbers come to the driver.
 
 Defined results: a null text has size 0; null is a source of its own, the last one; a
 document of size 0 takes 0 words; a source of size 0 has target 0; repeated rows are
-separate documents; an empty table gives no rows.
+separate documents; rows without an id are shuffled by a hash of their texts; an empty
+table gives no rows.  Rows equal in id and, without an id, in text are in one bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, packed, text_of, unpacked
 
 PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -69,7 +70,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, digits: int) -> list[Column]:
-    shuffle = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":mix")))
+    shuffle = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":mix"), docs["tm_mark"]))
     return [shuffle.alias("tm_key"), F.substring(shuffle, 1, digits).alias("tm_bucket")]
 
 
@@ -92,7 +93,7 @@ def _step(time: Column, steps: int) -> Column:
 
 
 def plan(docs: DataFrame) -> Mix:
-    """Targets, running counts and the end of the mix, for ``doc_id, tm_source, tm_size``."""
+    """Targets, running counts and the end of the mix, for ``doc_id, tm_source, tm_size, tm_mark``."""
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(1, n / ROWS_PER_BUCKET), 16)))
     steps = max(16, math.ceil(PASSES * n / ROWS_PER_BUCKET))
@@ -118,7 +119,7 @@ def plan(docs: DataFrame) -> Mix:
 
 
 def place(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` (with ``tm_source`` and ``tm_size``) and ``tm_turns``, the times the mix takes each."""
+    """``docs`` (with ``tm_source``, ``tm_size`` and ``tm_mark``) and ``tm_turns``, the times the mix takes each."""
     placed = _placed(docs.select("*", *_keys(docs, mix.digits)), mix.sources, mix.before)
 
     def takes(turn: int) -> Column:
@@ -140,23 +141,25 @@ def place(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``tm_source`` and ``tm_size``."""
-    return docs.select("*", docs["source"].alias("tm_source"), word_count(text_of(docs)).alias("tm_size"))
+    """``docs`` with ``tm_source``, ``tm_size``, and ``tm_mark``: what shuffles rows without an id, a hash of the text."""
+    mark = F.when(docs["doc_id"].isNull(), F.hex(F.xxhash64(text_of(docs)))).otherwise("")
+    return docs.select("*", docs["source"].alias("tm_source"), word_count(text_of(docs)).alias("tm_size"), mark.alias("tm_mark"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document its size, its source's size and target, and the words the mix takes from it."""
-    small = cut(sized(docs).select("doc_id", "tm_source", "tm_size"), "mix-sizes")
+    small = cut(sized(docs.select("doc_id", "source", "text")).select("doc_id", "tm_source", "tm_size", "tm_mark"), "mix-sizes")
     placed = place(small, plan(small))
     return placed.select("doc_id", F.col("tm_size").alias("size"), F.col("tm_total").alias("source_size"), F.col("tm_target").alias("target"), (F.col("tm_turns") * F.col("tm_size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents of size 0 stay once."""
-    rows = sized(docs)
-    small = cut(rows.select("doc_id", "tm_source", "tm_size"), "mix-sizes")
+    own = ("doc_id", "source", "text")
+    rows = sized(packed(docs, *own))
+    small = cut(rows.select("doc_id", "tm_source", "tm_size", "tm_mark"), "mix-sizes")
     placed = place(rows, plan(small)).filter("tm_turns > 0")
-    return placed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("tm_turns"))).alias("tm_turn")).select(*docs.columns)
+    return placed.select(*own, "tm_rest", F.explode(F.sequence(F.lit(1), F.col("tm_turns")))).select(*unpacked(docs.columns, *own))
 
 
 ORACLE = r"""

@@ -19,7 +19,8 @@ these cutoffs.  A stratum with too few labels gets no cutoff and loses none.
 
 Defined results: null and empty texts have no words and fail the base rule; a null
 ``lang`` is a stratum of its own; labels without a quality or without a document are
-ignored, repeated labels count each; repeated rows are judged each.
+ignored; an id counts once in a stratum, however many labels and rows have it: as good if
+any label says so, with the worst of its rows' badness; repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, map_rows, small_batches, text_of, words_of
+from .common import SPACE_CHARS, cut, map_rows, packed, small_batches, text_of, unpacked, words_of
 
 MIN_WORDS = 50
 #: Units of the five rates: symbols, repeated lines, repeated windows, capitals, exclamation marks.
@@ -172,7 +173,9 @@ def fit(rates: DataFrame, labels: DataFrame, allowed: float = ALLOWED, risk: flo
     """Cutoffs per stratum from all labelled documents."""
     spared = sum((F.when(F.col("badness") <= c, 1).otherwise(0) for c in CUTOFFS), F.lit(0))
     known = labels.select(F.col("doc_id").alias("tm_id"), F.col("quality").cast("int").alias("tm_good")).filter("tm_good in (0, 1)")
-    joined = rates.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("tm_id"))
+    known = known.groupBy("tm_id").agg(F.max("tm_good").alias("tm_good"))
+    worst = rates.filter(~F.col("base_failed")).groupBy("doc_id", "lang").agg(F.max("badness").alias("badness"))
+    joined = worst.join(known, F.col("doc_id") == F.col("tm_id"))
     counts: dict = {}
     for lang, good, k, n in joined.groupBy("lang", "tm_good", spared.alias("k")).count().collect():
         counts.setdefault(lang, ([0] * (len(CUTOFFS) + 1), [0] * (len(CUTOFFS) + 1)))[0 if good else 1][k] += n
@@ -208,4 +211,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep.append(not failed and (cutoff is None or badness <= cutoff))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    rows = packed(docs, "text", "lang")
+    return rows.mapInArrow(work, rows.schema).select(*unpacked(docs.columns, "text", "lang"))
