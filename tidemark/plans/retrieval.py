@@ -11,6 +11,8 @@ from ..fixed_values import EVERYDAY
 from ..functions.exprs import fixed, tokens
 
 K1, B, TOP, FAN_OUT, EXPANDED = 1.5, 0.75, 8, 8, 0.6
+#: So many different query terms at most are broadcast; more are joined by a shuffle of the tokens.
+BROADCAST_TERMS = 10_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -26,13 +28,17 @@ def term_stats(posts: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """The best chunks per query of ``qid, term, weight``: score, then id.
 
-    The query terms are joined before anything is summed, so only their postings are shuffled.
+    The query terms are joined to the chunks' tokens before anything is grouped, so only their postings are shuffled.
     """
-    posts = postings(chunks)
-    sizes = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = posts.join(queries, "term")
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(sizes))
+    terms = queries.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    t = chunks.select("id", tokens(F.col("text")).alias("t"))
+    sizes = t.select(F.size("t").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    found = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # Counted with tf and dl, so that both uses of the postings have the same columns and share one exchange.
+    df = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    scored = found.join(queries, "term").join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("qid", "id").agg(fixed(F.sum(part)).alias("score"))
@@ -47,6 +53,15 @@ def date_boost(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> Data
     return j.withColumn("score", F.when(F.col("kind").isNotNull(), F.col("score") * 2 + F.when(F.col("kind") == "day", 3).otherwise(2)).otherwise(F.col("score"))).drop("kind")
 
 
+def date_hits(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> DataFrame:
+    """As :func:`date_boost`, with the chunks that hold an asked day and no word of the question: 3 for day chunks, 2 for others."""
+    days = chunk_days.join(asked, "day").groupBy("qid", "id").agg(F.min("kind").alias("kind"))
+    j = hits.join(days, ["qid", "id"], "full")
+    plus = F.when(F.col("kind").isNull(), 0).when(F.col("kind") == "day", 3).otherwise(2)
+    score = F.coalesce("score", F.lit(0.0)) * F.when(F.col("kind").isNull(), 1).otherwise(2) + plus
+    return j.withColumn("score", score).drop("kind")
+
+
 def expand(queries: DataFrame, concepts: DataFrame) -> DataFrame:
     """Query terms with weight 1 and their concepts' terms with less; a word with many concepts adds none.
 

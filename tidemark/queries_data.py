@@ -161,6 +161,21 @@ def date_boost(spark, sf_dir):
     return R.date_boost(hits, days, asked).select("qid", "id", "score")
 
 
+@query("""WITH c AS (SELECT conv_id % 5 AS qid, conv_id AS id, turn FROM conversations),
+h AS (SELECT qid, id, count(*)::DOUBLE AS score FROM c WHERE turn = 1 AND id % 3 <> 0 GROUP BY ALL),
+d AS (SELECT DISTINCT qid, id FROM c WHERE turn = 2 AND qid < 4)
+SELECT qid, id, coalesce(score, 0) AS score FROM h ANTI JOIN d USING (qid, id)
+UNION ALL SELECT qid, id, coalesce(score, 0) * 2 + CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END FROM d LEFT JOIN h USING (qid, id)""")
+def date_hits(spark, sf_dir):
+    """The questions are 0 to 4, each over its own conversations; first turns hit by keyword, second turns by date, none for question 4."""
+    c = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("qid"), F.col("conv_id").alias("id"), "turn")
+    hits = c.filter("turn = 1 and id % 3 <> 0").groupBy("qid", "id").agg(F.count("*").cast("double").alias("score"))
+    days = c.select("qid", "id", F.col("turn").alias("day"), F.when(F.col("id") % 2 == 0, "day").otherwise("series").alias("kind"))
+    asked = days.select("qid").distinct().filter("qid < 4").withColumn("day", F.lit(2))
+    own = R.date_hits(hits, days.drop("qid"), asked)
+    return own.filter(F.col("id") % 5 == F.col("qid")).select("qid", "id", "score")
+
+
 @query(OBS_SQL + """SELECT patient_id, analyte, analyte || ': ' || string_agg('day ' || day || ' #' || seq, '; ' ORDER BY day, seq) AS text FROM obs GROUP BY patient_id, analyte""")
 def series_chunks(spark, sf_dir):
     o = observations(spark, sf_dir)
