@@ -86,9 +86,23 @@ def range_crossings(points: DataFrame) -> DataFrame:
     return s.select(kind.alias("rule"), severity.alias("severity"), *KEYS, "p_day", "day", "value", F.when(F.col("exit") == 1, F.col("ordinal")).alias("ordinal"))
 
 
+#: Marks of a critical value, printed or interpreted.
+CRITICAL = ("CH", "CL", "HH", "LL")
+
+
 def critical_flags(obs: DataFrame) -> DataFrame:
-    """Series with a critical flag: critical while no later day exists, high afterwards."""
-    crit = F.col("printed_flag").isin("CH", "CL")
+    """Series with a critical mark: critical while no later day exists, high afterwards.
+
+    The mark is the printed flag or, where there is such a column, the interpretation, in any case and
+    with white space around it. Rows without a value don't count, where there is a column of values.
+    """
+    clean = lambda c: F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    crit = F.lit(False)
+    for c in ("printed_flag", "interpretation"):
+        if c in obs.columns:
+            crit = crit | F.coalesce(clean(F.col(c)).isin(*CRITICAL), F.lit(False))
+    if "value" in obs.columns:
+        obs = obs.filter("value is not null")
     g = obs.groupBy(*KEYS).agg(F.max("day").alias("latest"), F.max(F.when(crit, F.col("day"))).alias("flagged"), F.count_if(crit).alias("n_flags"))
     return g.filter("flagged is not null").select(F.when(F.col("latest") > F.col("flagged"), "high").otherwise("critical").alias("severity"), *KEYS, "flagged", "latest", "n_flags")
 

@@ -25,8 +25,8 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """The best chunks per query of ``qid, term, weight``: score, then id.
+def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """``qid, id, score`` of all chunks that hold a term of a query of ``qid, term, weight``.
 
     The query terms are joined to the chunks' tokens before anything is grouped, so only their postings are shuffled.
     """
@@ -41,9 +41,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     scored = found.join(queries, "term").join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("qid", "id").agg(fixed(F.sum(part)).alias("score"))
+    return scored.groupBy("qid", "id").agg(fixed(F.sum(part)).alias("score"))
+
+
+def best(scores: DataFrame, top: int = TOP) -> DataFrame:
+    """The best chunks per query: score, then id."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return total.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """The best chunks per query of ``qid, term, weight``."""
+    return best(bm25_scores(chunks, queries), top)
 
 
 def date_boost(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> DataFrame:
@@ -117,12 +126,35 @@ def prompt(question: str, hits: list[tuple[str, str]]) -> list[dict]:
     return [{"role": "system", "content": "Answer from the numbered sources only and name them. Say so if they don't tell."}, {"role": "user", "content": f"Sources:\n{sources}\n\nQuestion: {question}"}]
 
 
-def answer(question: str, chunks: DataFrame, chat: Callable[[list[dict]], str], top: int = TOP) -> dict:
-    """Retrieve, ask the given model, and keep the sources if it fails; only ``top`` rows reach the driver."""
+def concept_index(dictionary: DataFrame) -> DataFrame:
+    """``word, term`` from a dictionary of ``analyte, display, aliases, plain``: all its words stand for the analyte."""
+    blob = F.concat_ws(" ", F.translate("analyte", "_", " "), "display", F.array_join("aliases", " "), "plain")
+    return dictionary.select(F.explode(F.array_distinct(tokens(blob))).alias("word"), F.col("analyte").alias("term"))
+
+
+def search(question: str, chunks: DataFrame, concepts: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """The best chunks for one question, as ``qid, id, score, place``.
+
+    Its words are expanded by ``concepts`` (``word, term``).  Chunks of the days it names, by number
+    or by date, are raised, also those without any of its words; ``chunk_days`` is ``id, kind, day, date``.
+    """
     spark = chunks.sparkSession
-    q = spark.createDataFrame([(1, question)], "qid int, text string").select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
-    best = bm25(chunks, q, top).join(chunks, "id").orderBy("place").select("id", "text").collect()
-    hits = [(str(r["id"]), r["text"]) for r in best]
+    asked = spark.createDataFrame([(1, question)], "qid int, text string")
+    q = asked.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    q = q.withColumn("weight", F.lit(1.0)) if concepts is None else expand(q, concepts)
+    hits = bm25_scores(chunks, q)
+    if chunk_days is not None:
+        named = asked.select(mentioned_days(F.col("text")).alias("days"), mentioned_dates(F.col("text")).alias("dates")).first()
+        hit = F.col("day").isin(named["days"]) | (F.month("date") * 100 + F.dayofmonth("date")).isin(named["dates"])
+        found = chunk_days.filter(F.coalesce(hit, F.lit(False))).select("id", "kind", F.lit(1).alias("day"))
+        hits = date_hits(hits, found, spark.createDataFrame([(1, 1)], "qid int, day int"))
+    return best(hits, top)
+
+
+def answer(question: str, chunks: DataFrame, chat: Callable[[list[dict]], str], top: int = TOP, concepts: DataFrame | None = None, chunk_days: DataFrame | None = None) -> dict:
+    """Retrieve, ask the given model, and keep the sources if it fails; only ``top`` rows reach the driver."""
+    found = search(question, chunks, concepts, chunk_days, top).join(chunks, "id").orderBy("place").select("id", "text").collect()
+    hits = [(str(r["id"]), r["text"]) for r in found]
     try:
         return {"ok": True, "text": chat(prompt(question, hits)), "sources": [i for i, _ in hits]}
     except Exception as e:  # the model is the caller's
