@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,16 +133,13 @@ def most_similar(label: str, known: list[tuple[str, str]], cutoff: float = FUZZY
 
 def similarity(a: Column, b: Column) -> Column:
     """Share of matching blocks of two texts, as a vectorised function; for distinct pairs only."""
-    from pyspark.sql.functions import PandasUDFType
 
-    def ratio(x, y):
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        import pandas as pd
-
         return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
 
-    return F.pandas_udf(ratio, "double", PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def dark_runs(rows: DataFrame) -> DataFrame:
