@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, copies, extraction, language, license_set, licenses, lines, mixing, neighbours, pieces, quality
+from . import archives, copies, extraction, language, license_set, licenses, lines, mixing, neighbours, pieces, quality, resampling, toxicity, whitening
 from .common import table
 
 #: Name of the vocabulary file for op10 and op2, looked up among the public tokenizers.
@@ -60,6 +60,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_language_id": op2_language_id,
@@ -71,10 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_resampling": op11_resampling,
+    "op12_toxicity": op12_toxicity,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_nearest_neighbours": neighbours.ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_resampling": resampling.ORACLE,
 }
