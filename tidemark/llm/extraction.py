@@ -5,19 +5,23 @@ and other elements without text go at once.  Every paragraph passes points for i
 and its commas to its ancestors, halved and thirded on the way up; a container's points
 are discounted by the share of its text inside links.  The best container is kept with
 those of its siblings, and of its ancestors' siblings, that score like it or hold running
-text, with loose text between them; an enclosing article or main element counts as the
+text, with all between them that isn't mostly links; an enclosing article or main element counts as the
 container, and of several articles outside a main element all that aren't mostly links
 are kept.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are told
-by element, role, and words of class and id, and weighed by what they hold:
-
-* navigation, footers, asides, dialogs, hidden parts and reader comments go, unless no
-  other text of the page is left; then the one with most running text is taken,
-* forms, headers, and parts with any other such name go, unless they hold a main element
-  or more than half of the page's running text: then they are wrappers of the article,
-* a name that has other words of its own (``related-work``, ``ad-free``) only counts where
-  the part doesn't read like running text; ``has-sidebar`` and its like are layout.
+by element, role, and words of class and id, and taken off before anything is scored:
+
+* navigation, footers, asides, dialogs, hidden parts and reader comments always go, and
+  so do forms, headers, and parts and articles with any other such name, however long they are;
+  they only stay where they are wrappers of the page: a named part that holds a main
+  element or an article with a first heading, a form that holds an article, a first heading, or the page's menu, header or footer,
+* a name that has other words of its own (``related-work``, ``ad-free``) counts only where
+  the part doesn't read like running text, and inside an article only where the part is mostly
+  links; ``has-sidebar`` and its like are layout,
+* if nothing but links is left of the page, the named part with most text comes back, of any
+  length, or else the menu, footer or the like that has most running text; adverts, cookie
+  notices and lists of links don't.
 
 Text is put out by blocks: character references decoded, white space turned into one
 space, blocks in page order joined by an empty line; nothing else is dropped or capped.
@@ -76,13 +80,17 @@ NAMES = COMMENTS | set("ad ads advert adverts advertisement advertising banner b
 #: Page builders name parts of articles so, too.
 WEAK_NAMES = set("widget widgets".split())
 #: Words that say nothing of their own beside those.
-NEUTRAL = set("area article articles bar block blog body bottom box button buttons container content count form icons inner item items label left link links list main module outer page panel post posts reader readers right section site slot space stories story text thread title top unit user users wrap wrapper zone".split())
+NEUTRAL = set("all and by for in it me more my now of on our the this to us with you your area article articles bar block blog body bottom box button buttons container content count form icons inner item items label left link links list main module outer page panel post posts reader readers right section site slot space stories story text thread title top unit user users wrap wrapper zone".split())
 #: First words of names that tell of a layout.
 STATES = set("no has with without hide".split())
 #: What reads like running text has so many characters and less than this share inside links.
 RUNNING, DENSITY = 80, 0.25
-#: A part that is otherwise left out needs so many characters of running text to stand for the page.
-ALONE = 250
+#: Names of parts that never stand for a page.
+NEVER = set("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies gdpr menu menus navbar pager pagination skip toolbar".split())
+#: Names by which an article element is none of the page's own.
+ARTICLE_NAMES = COMMENTS | set("ad ads advert adverts advertisement advertising newsletter promo promoted promotion related sponsor sponsored sponsors".split())
+#: Elements of a whole page: a form that holds one is a wrapper.
+LANDMARKS = set("main article h1 nav header footer".split())
 SAFE = set("html body article main".split())
 INLINE_NAMED = set("b i em strong span a".split())
 PARAGRAPHS = set("p pre td blockquote li dd div section article main body".split())
@@ -94,13 +102,13 @@ KEEP, LIKELY, SURE = 0, 1, 2
 class Node:
     """An element: ``worth`` is the running text it holds, ``chars`` and ``linked`` its characters, all and inside links."""
 
-    __slots__ = ("tag", "attrs", "parent", "kids", "points", "chars", "linked", "sentence", "worth", "judged", "inside", "holds_main")
+    __slots__ = ("tag", "attrs", "parent", "kids", "points", "chars", "linked", "sentence", "worth", "judged", "inside", "holds_main", "holds_page", "titled")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
         self.points = self.worth = 0.0
         self.chars = self.linked = 0
-        self.sentence = self.inside = self.holds_main = False
+        self.sentence = self.inside = self.holds_main = self.holds_page = self.titled = False
         self.judged = KEEP
 
 
@@ -182,22 +190,24 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
 
 
-def name_of(found: dict[str, str]) -> tuple[int, bool, set[str]]:
-    """What class and id say: a judgement, whether the name has words of its own, and all words."""
-    judged, own, words = KEEP, False, set()
+def name_of(found: dict[str, str], names: set[str] = NAMES | WEAK_NAMES) -> tuple[int, int, set[str]]:
+    """What class and id say: judgements by names alone and by names with words of their own, and all words."""
+    alone, with_own, words = KEEP, KEEP, set()
     for token in (found.get("class", "") + " " + found.get("id", "")).split():
         parts = NAME_PART.findall(HUMP.sub(r"\1 \2", token).lower())
         words.update(parts)
         if "side" in parts and "bar" in parts:
             parts = ["sidebar"]
-        named = [p for p in parts if p in NAMES or p in WEAK_NAMES]
+        named = [p for p in parts if p in names]
         if not named or parts[0] in STATES:
             continue
         telling = [p for p in parts if p not in NEUTRAL]
         head = telling[-1]
-        judged = max(judged, SURE if head in COMMENTS and telling == named else LIKELY)
-        own |= head not in NAMES or any(p not in NAMES and p not in WEAK_NAMES for p in telling)
-    return judged, own, words
+        if head not in names or head in WEAK_NAMES or named != telling:
+            with_own = LIKELY
+        else:
+            alone = max(alone, SURE if head in COMMENTS and telling == named else LIKELY)
+    return alone, with_own, words
 
 
 def order_of(root: Node) -> list[Node]:
@@ -223,7 +233,7 @@ def size(order: list[Node]) -> None:
     """Characters, characters inside links, and whether there is a sentence, for all nodes."""
     for node in reversed(order):
         node.chars = node.linked = 0
-        node.sentence = node.holds_main = False
+        node.sentence = node.holds_main = node.holds_page = node.titled = False
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len(SPACE.sub(" ", k).strip())
@@ -232,7 +242,9 @@ def size(order: list[Node]) -> None:
                 node.chars += k.chars
                 node.linked += k.linked
                 node.sentence = node.sentence or k.sentence
-                node.holds_main = node.holds_main or k.holds_main or k.tag == "main" and k.chars > 0
+                node.titled = node.titled or k.titled or k.tag == "h1" and k.chars > 0
+                node.holds_main = node.holds_main or k.holds_main or k.tag == "main" and k.chars > 0 or k.tag == "article" and k.titled
+                node.holds_page = node.holds_page or k.holds_page or k.tag in LANDMARKS and k.chars > 0
         if node.tag == "a":
             node.linked = node.chars
 
@@ -257,12 +269,16 @@ def judge(node: Node) -> int:
     role = found.get("role", "").lower()
     if role in ROLES or role in WEAK_ROLES:
         return SURE if role in ROLES else LIKELY
-    if node.tag in SAFE or node.tag in HEADINGS:
+    if "comment" in found.get("itemprop", "").lower().split():
+        return SURE
+    if node.tag in HEADINGS or node.tag in SAFE and node.tag != "article":
         return judged
-    by_name, own, words = name_of(found)
-    if by_name == KEEP or node.inside and node.tag in INLINE_NAMED and not words & {"ad", "ads", "advert"}:
+    alone, with_own, words = name_of(found, ARTICLE_NAMES) if node.tag == "article" else name_of(found)
+    if node.inside and node.tag in INLINE_NAMED and not words & {"ad", "ads", "advert"}:
         return judged
-    return judged if own and prose(node) and by_name != SURE else max(judged, by_name)
+    if with_own and not (share(node) > 0.5 if node.inside else prose(node)):
+        alone = max(alone, with_own)
+    return max(judged, alone)
 
 
 def own_text(node: Node) -> str:
@@ -289,7 +305,7 @@ def prune(root: Node) -> Node:
     taken: list[Node] = []
 
     def stays(node: Node) -> bool:
-        if node.judged == KEEP or node.judged == LIKELY and (node.holds_main or 2 * node.worth > root.worth):
+        if node.judged == KEEP or node.judged == LIKELY and (node.holds_main or node.tag == "form" and node.holds_page):
             return True
         taken.append(node)
         return False
@@ -301,17 +317,33 @@ def prune(root: Node) -> Node:
             node.kids = [k for k in node.kids if isinstance(k, Node) and (k.tag in HEADINGS or k.tag in ("hgroup", "div"))]
         node.kids = [k for k in node.kids if isinstance(k, str) or stays(k)]
         stack += [k for k in node.kids if isinstance(k, Node)]
-    left = order_of(root)
-    size(left)
-    if not root.chars and taken:
-        place = {id(k): i for i, k in enumerate(order)}
-        most = max(taken, key=lambda k: (k.worth, -place[id(k)]))
-        if most.worth >= ALONE:
+    place = {id(k): i for i, k in enumerate(order)}
+    size(order_of(root))
+    for level in (LIKELY, SURE):
+        if root.chars > root.linked:
+            break
+        able = [k for k in taken if k.judged == level and (k.worth > 0 if level == SURE else k.chars > k.linked) and not name_of(attributes(k.attrs))[2] & NEVER]
+        if able:
+            most = max(able, key=lambda k: (k.worth, k.chars - k.linked, -place[id(k)]))
             most.parent = None
-            return most
+            root = without_named(most)
     return root
 
 
+def without_named(part: Node) -> Node:
+    """A part that came back, without the named parts inside it, unless that leaves nothing."""
+    order = order_of(part)
+    held = {id(node): node.kids for node in order}
+    for node in order:
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.judged == KEEP]
+    size(order_of(part))
+    if part.chars == part.linked:
+        for node in order:
+            node.kids = held[id(node)]
+        size(order_of(part))
+    return part
+
+
 def score(root: Node) -> list[Node]:
     """Give all containers their points; all nodes, parents first."""
     order = order_of(root)
@@ -383,14 +415,15 @@ def container(order: list[Node]) -> list[Node]:
     least = max(10.0, final(best) * 0.2)
     kept, level = [best], 0
     while best.tag not in SAFE and best.parent is not None:
+        parts = runs(best.parent.kids)
+        own = next(i for i, k in enumerate(parts) if k is best or best in k.kids)
+        good = [i for i, k in enumerate(parts) if i == own or final(k) >= least or k.tag in HEADINGS or k.points > 0 and prose(k) or not level and k.tag == "p" and k.chars > 0 and share(k) > 0.5]
         around: list[Node] = []
-        for k in runs(best.parent.kids):
-            if k is best or best in k.kids:
+        for i in range(good[0], good[-1] + 1):
+            if i == own:
                 around += kept
-            elif final(k) >= least or k.tag in HEADINGS or k.points > 0 and prose(k):
-                around.append(k)
-            elif not level and k.tag == "p" and k.chars > 0 and share(k) > 0.5:
-                around.append(k)
+            elif i in good or parts[i].chars > 0 and share(parts[i]) > 0.5:
+                around.append(parts[i])
         kept, best, level = around, best.parent, level + 1
     return kept
 
