@@ -1,5 +1,8 @@
 """The full set of licenses, short notices and SPDX lines."""
 
+import random
+import time
+
 from tidemark.llm import license_set, licenses, queries
 
 SET = license_set.full_set()
@@ -31,6 +34,27 @@ def test_spdx():
     assert found("SPDX-License-Identifier: LicenseRef-own.\nnext line").keys() == {"spdx:licenseref-own"}
 
 
+def test_spdx_places_against_plain():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["SPDX-License-Identifier: MIT ", "spdx-license-identifier:ISC", "SPDX-License-Identifier: ", "word ", "İ", "Σ", "_x", "\n", "é-", "Apache-2.0 OR "]) for _ in range(rng.randrange(25)))
+        want = {}
+        for m in licenses.SPDX.finditer(text):
+            for name in licenses.re.findall(licenses.SPDX_ID, m[1]):
+                if name not in ("AND", "OR", "WITH"):
+                    want.setdefault(name.rstrip(".:-").lower(), len(licenses.WORDS.findall(text[: m.start()].lower())))
+        assert licenses.spdx(text) == want
+
+
+def test_long_text_of_spdx_lines():
+    line = "// SPDX-License-Identifier: MIT OR Apache-2.0\n"
+    began = time.perf_counter()
+    assert licenses.spdx(line * (5_000_000 // len(line))) == {"mit": 0, "apache-2.0": 0}
+    assert time.perf_counter() - began < 10
+    found = {name: place for name, _, place in licenses.Scanner(licenses.TEMPLATES).scan(line * (2_000_000 // len(line)))}
+    assert found["spdx:mit"] == 0 and time.perf_counter() - began < 60
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r.doc_id, r.license) for r in queries.op9_license_scan(spark, sf).collect()}

@@ -98,8 +98,11 @@ def shingles_of(words, width: int = WIDTH):
 def spdx(text: str) -> dict[str, int]:
     """Identifiers of the SPDX lines of a text, with the first word of the first line of each."""
     out: dict[str, int] = {}
+    place = done = 0
     for m in SPDX.finditer(text):
-        place = len(WORDS.findall(text[: m.start()].lower()))
+        # Words are counted from the last line on; one that goes on there is counted already.
+        place += len(WORDS.findall(text[done : m.start()].lower())) - (done > 0 and WORDS.fullmatch(text[done - 1].lower()[-1]) is not None)
+        done = m.start()
         for name in re.findall(SPDX_ID, m[1]):
             if name not in ("AND", "OR", "WITH"):
                 out.setdefault(name.rstrip(".:-").lower(), place)
