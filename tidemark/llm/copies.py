@@ -180,13 +180,20 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("tile", tile).withColumn("two", F.col("block") != F.col("with"))
 
 
+def with_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Classes with one text each, that of their pick, however many rows repeat it."""
+    text = text_of(docs)
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64(text).alias("t_mark"), text.alias("text"))
+    # Repeated rows are one before anything is sent.
+    texts = texts.groupBy("t_id", "t_mark").agg(F.min("text").alias("text"))
+    found = known.join(texts, F.col("pick.doc_id").eqNullSafe(F.col("t_id")) & (F.col("pick.mark") == F.col("t_mark")))
+    return found.select("d1", "d2", "copies", "buckets", "text")
+
+
 def linked_sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
     """Rows of ``node, links, root`` from all tiles; nodes name classes by their digests."""
     lists = buckets.groupBy("d1", "d2").agg(F.collect_set("bucket").alias("buckets"))
-    known = classes.select("d1", "d2", "copies", "pick").join(lists, ["d1", "d2"])
-    text = text_of(docs)
-    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64(text).alias("t_mark"), text.alias("text"))
-    with_text = known.join(texts, F.col("pick.doc_id").eqNullSafe(F.col("t_id")) & (F.col("pick.mark") == F.col("t_mark"))).select("d1", "d2", "copies", "buckets", "text")
+    with_text = with_texts(docs, classes.select("d1", "d2", "copies", "pick").join(lists, ["d1", "d2"]))
     dealt = tiles_of(buckets).join(with_text, ["d1", "d2"]).select("tile", "bucket", "block", "two", "d1", "d2", "copies", "buckets", "text")
 
     def work(frames: Iterator) -> Iterator:
@@ -196,7 +203,7 @@ def linked_sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> Data
         hashes = WordHashes()
         out: list = []
         for run in runs_of(frames, "tile"):
-            run = run.drop_duplicates(["d1", "d2", "block"]).sort_values(["d1", "d2"], kind="stable")
+            run = run.sort_values(["d1", "d2"], kind="stable")
             names = [f"{a & 2**64 - 1:016x}{b & 2**64 - 1:016x}" for a, b in zip(run["d1"].tolist(), run["d2"].tolist())]
             sets = [shingle_set(t, hashes) for t in run["text"]]
             blocks = run["block"].to_numpy() if run["two"].any() else None
@@ -262,8 +269,9 @@ def near_copies(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """Rows of ``doc_id, class_id, n_links, exact_id, n_copies`` for every document."""
     docs = docs.select("doc_id", "text")
     keys = cut(keyed(docs, runs_for(recall)), "copies-keys")
-    facts = facts_of(docs, keys)
-    first = facts.groupBy("root").agg(F.min("exact_id").alias("class_id"))
+    facts = cut(facts_of(docs, keys), "copies-groups")
+    # As a table of its own, so that a large group's rows on the other side can be split over tasks.
+    first = cut(facts.groupBy("root").agg(F.min("exact_id").alias("class_id")), "copies-first")
     facts = cut(facts.join(first, "root").select("d1", "d2", "exact_id", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "copies-facts")
     joined = keys.select("doc_id", "d1", "d2", "n").join(facts, ["d1", "d2"], "left")
     alone = F.col("n") == 0
