@@ -5,19 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clean_label, id_stem, normalised
+from ..functions.exprs import id_stem
+from ..operators.labels import match_labels, similarity  # noqa: F401
 
 OVERLAP = 0.6
 #: Fractions of the page width where the columns test, result and unit end.
 COLUMNS = (("test", 0.29), ("result", 0.595), ("unit", 0.695))
 DARK, TOP_SHARE, LEAST_SHARE, MOST_SHARE, MEAN_DARK = 195, 0.10, 0.012, 0.035, 160
-FUZZY = 0.86
 
 
 def words_from_tsv(spark, path: str) -> DataFrame:
@@ -91,57 +88,6 @@ def merge_wrapped(rows: DataFrame) -> DataFrame:
     return r.groupBy("page", "entry").agg(F.min("line").alias("line"), *[join(c) for c in ("test", "result", "unit", "range")])
 
 
-def match_labels(labels: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Distinct labels with key and kind of match: exact, longest leading words, else a similar alias.
-
-    ``aliases``: ``alias_norm, key``, a dictionary of fixed size.  Only labels that neither
-    way matches reach the similarity, in Python.
-    """
-    d = labels.select("label").distinct().withColumn("words", F.filter(F.split(clean_label(F.col("label")), r"\s+"), lambda x: x != ""))
-    n = F.size("words")
-    tries = F.transform(F.sequence(n, F.when(n > 0, 1).otherwise(n), F.when(n > 0, -1).otherwise(1)), lambda k: F.struct(k.alias("k"), normalised(F.array_join(F.slice(F.col("words"), 1, k), " ")).alias("alias_norm")))
-    each = d.filter(n > 0).select("label", n.alias("n"), F.inline(tries))
-    best = each.join(aliases, "alias_norm").groupBy("label").agg(F.max_by(F.struct("key", "k", "n"), "k").alias("b"))
-    found = best.select("label", "b.key", F.when(F.col("b.k") == F.col("b.n"), "exact").otherwise("prefix").alias("match"))
-    rest = d.join(found, "label", "left_anti").select("label")
-    if not fuzzy:
-        return found.unionByName(rest.select("label", F.lit(None).cast("string").alias("key"), F.lit("none").alias("match")))
-    known = [(r["alias_norm"], r["key"]) for r in aliases.orderBy("alias_norm").collect()]
-
-    def similar(frames: Iterator) -> Iterator:
-        for f in frames:
-            keys = [most_similar(x, known) for x in f["label"]]
-            yield f.assign(key=keys, match=["fuzzy" if k else "none" for k in keys])
-
-    return found.unionByName(rest.mapInPandas(similar, "label string, key string, match string"))
-
-
-def most_similar(label: str, known: list[tuple[str, str]], cutoff: float = FUZZY) -> str | None:
-    """Key of the most similar alias for labels of five characters or more."""
-    from difflib import SequenceMatcher
-
-    norm = "".join(c for c in label.upper() if c.isalnum())
-    if len(norm) < 5:
-        return None
-    best, key = 0.0, None
-    for alias, k in known:
-        m = SequenceMatcher(None, alias, norm, autojunk=True)
-        if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff and r > best:
-            best, key = r, k
-    return key
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Share of matching blocks of two texts, as a vectorised function; for distinct pairs only."""
-
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
-
-    return F.pandas_udf(ratio, "double")(a, b)
-
-
 def dark_runs(rows: DataFrame) -> DataFrame:
     """Dark horizontal strips of pages of ``page, y, lum, height``: islands of dark rows of the right height and darkness."""
     w = Window.partitionBy("page").orderBy("y")

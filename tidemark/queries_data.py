@@ -380,12 +380,6 @@ def label_match(spark, sf_dir):
     return L.match_labels(labels, spark.createDataFrame(ALIASES, "alias_norm string, key string"), fuzzy=False)
 
 
-@query()
-def label_match_fuzzy(spark, sf_dir):
-    labels = read(spark, sf_dir, "part").select(F.concat(F.substring("p_type", 1, 6), F.lit("x")).alias("label"))
-    return L.match_labels(labels, spark.createDataFrame(ALIASES, "alias_norm string, key string"))
-
-
 @query()
 def contact_sheets(spark, sf_dir):
     return L.batches(observations(spark, sf_dir).select("seq", "analyte")).groupBy("sheet").agg(F.count("*").alias("n"), F.count_distinct("analyte").alias("analytes"))
