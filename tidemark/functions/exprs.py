@@ -103,6 +103,34 @@ def short(x: Column) -> Column:
     return F.when(F.abs(x) >= 1000, F.format_string("%.0f", x)).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
 
 
+def general(x: Column, signed: bool = False) -> Column:
+    """A number with six significant digits and no trailing zeros, with an exponent below 1e-4 and from 1e6 on; ``signed`` shows a plus.
+
+    A seventh digit of 5 that is the last one of the shortest decimal rounds up.
+    """
+    short_zeros = lambda t: F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1")
+    no_dot = lambda t: F.regexp_replace(short_zeros(t), r"\.$", "")
+    sci = F.format_string("%.5e", x)
+    power = F.regexp_extract(sci, "e(.*)$", 1).cast("int")
+    text = F.concat(no_dot(F.regexp_extract(sci, "^(.*)e", 1)), F.regexp_extract(sci, "(e.*)$", 1))
+    for k in range(-4, 6):
+        text = F.when(power == k, no_dot(F.format_string(f"%.{5 - k}f", x)) if k < 5 else F.format_string("%.0f", x)).otherwise(text)
+    text = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)
+    text = F.concat(F.when(F.startswith(text, F.lit("-")), "").otherwise("+"), text) if signed else text
+    return F.when(x.isNotNull(), text)
+
+
+def signed_percent(x: Column) -> Column:
+    """A number without decimals and with its sign; halves go to the even one."""
+    return F.concat(F.when(x < 0, "-").otherwise("+"), F.bround(F.abs(x), 0).cast("decimal(38,0)").cast("string"))
+
+
+def reference_sentence(low: Column, high: Column) -> Column:
+    """Both bounds of a range, or one, as a sentence; empty without any."""
+    both = F.concat(F.lit("Reference "), general(low), F.lit("-"), general(high), F.lit("."))
+    return F.when(low.isNotNull() & high.isNotNull(), both).when(high.isNotNull(), F.concat(F.lit("Reference upper limit "), general(high), F.lit("."))).when(low.isNotNull(), F.concat(F.lit("Reference lower limit "), general(low), F.lit("."))).otherwise("")
+
+
 def range_words(value: Column, low: Column, high: Column) -> Column:
     """Where a value is relative to its range, in a few words."""
     fold = gauge_fold(value, low, high)

@@ -32,15 +32,20 @@ def steps(points: DataFrame) -> DataFrame:
     return points.withColumns({"p_value": F.lag("value").over(w), "p_day": F.lag("day").over(w)}).withColumn("dir", step_direction(F.col("p_value"), F.col("value"), NOISE))
 
 
+def islands(points: DataFrame) -> DataFrame:
+    """Steps with ``island``, the number of their stretch of steps in one direction."""
+    w = series()
+    s = steps(points)
+    turn = F.when(F.col("dir").eqNullSafe(F.lag("dir").over(w)), 0).otherwise(1)
+    return s.withColumn("turn", turn).withColumn("island", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def monotonic_runs(points: DataFrame) -> DataFrame:
     """Maximal runs of at least three points in one direction with a net change of at least 10 %.
 
     Islands of equal step direction that isn't 0; a turning point belongs to both runs.
     """
-    w = series()
-    s = steps(points)
-    turn = F.when(F.col("dir").eqNullSafe(F.lag("dir").over(w)), 0).otherwise(1)
-    s = s.withColumn("turn", turn).withColumn("island", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = islands(points)
     runs = s.filter("dir <> 0").groupBy(*KEYS, "island", "dir").agg(F.count("*").alias("n"), F.min("p_day").alias("first_day"), F.max("day").alias("last_day"), F.min_by("p_value", "day").alias("first_value"), F.max_by("value", "day").alias("last_value"), F.first("valence").alias("valence"))
     base = F.coalesce(F.nullif(F.abs("first_value"), F.lit(0.0)), F.lit(1.0))
     net = F.abs(F.col("last_value") - F.col("first_value")) / base
