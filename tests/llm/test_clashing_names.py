@@ -55,12 +55,9 @@ def test_repeated_ids_count_once(spark):
     assert quality.fit(docs(few * 30), marks(labels[:40] * 30)) == {"en": None}
 
 
-def test_training_sample_is_bounded(spark, monkeypatch):
-    from tidemark.llm.queries import piece_model
-
-    seen = []
-    monkeypatch.setattr(language, "learn", lambda pieces, counts: seen.append(counts) or [])
+def test_training_sample_is_bounded(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'de', 'en') as lang", "'word' as text")
     again = docs.unionByName(spark.range(2000).selectExpr("5L as doc_id", "'en' as lang", "'word' as text"))
-    assert language.train(again, piece_model(), train_docs=50)[0] == ["de", "en"]
-    assert seen == [{"word": 50}, {"word": 50}]
+    counts = lambda **more: sorted(tuple(r) for r in language.training_counts(again, train_docs=50, **more).collect())
+    assert counts() == [("de", "word", 50), ("en", "word", 50)]
+    assert counts(train_chars=120) == [("de", "word", 30), ("en", "word", 30)] and counts(train_chars=3) == []

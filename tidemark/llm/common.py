@@ -10,9 +10,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +79,21 @@ def discard(df: DataFrame) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def no_collector():
+    """Without Python's cyclic garbage collector, for caches of many small objects; workers are used again, so it comes back."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def file_bytes(file: str | bytes) -> bytes:
+    """The bytes of a file of the driver, for sending to executors, which may not have it; bytes as they are."""
+    return file if isinstance(file, bytes) else Path(file).read_bytes()
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

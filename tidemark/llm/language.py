@@ -6,8 +6,8 @@ forward pass over the matches of an automaton; a text's is the product over its
 Piece probabilities come from labelled training texts by expectation maximisation over
 the same sums.  The score is the posterior of the predicted language with equal priors.
 
-Training takes a bounded sample: for each language at most ``TRAIN_DOCS`` whole documents,
-those with the smallest hashes of their ids, one text of each id.  Only rows below a bound
+Training takes a bounded sample: for each language at most ``TRAIN_DOCS`` whole documents of at most ``TRAIN_CHARS`` characters together,
+those with the smallest hashes of their ids, one text of each id; longer documents are not learned from.  Only rows below a bound
 on the hash, which holds about twice the sample whatever the table's size, are brought
 together.  Everything else sees all documents.
 
@@ -19,7 +19,6 @@ give repeated results.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections import Counter
@@ -28,11 +27,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, schema, small_batches
+from .common import file_bytes, map_rows, no_collector, schema, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 TRAIN_DOCS = 400
+#: Characters of a language's training documents, together.
+TRAIN_CHARS = 20_000_000
 ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTH = 0.02
@@ -48,11 +49,11 @@ def words(text: str | None) -> list[str]:
 class Pieces:
     """The lower-case letter pieces of a vocabulary, for finding them in words."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str | bytes):
         import ahocorasick
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        lib = sentencepiece.SentencePieceProcessor(model_proto=file_bytes(model_file))
         names = {lib.id_to_piece(i) for i in range(lib.vocab_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))}
         self.names = sorted(n for n in names if n == n.lower() and (n == MARK or LETTERS.fullmatch(n.removeprefix(MARK))))
         self.automaton = ahocorasick.Automaton()
@@ -152,7 +153,7 @@ def learn(pieces: Pieces, counts: dict[str, int], rounds: int = ROUNDS) -> list[
 class Scorer:
     """Log probabilities of words in all languages; short words are remembered."""
 
-    def __init__(self, model_file: str, langs: list[str], tables: list[list[float]]):
+    def __init__(self, model_file: str | bytes, langs: list[str], tables: list[list[float]]):
         import numpy as np
 
         self.pieces = Pieces(model_file)
@@ -208,17 +209,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, model_file: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[list[float]]]:
-    """Languages and their piece probabilities, from documents that are not held out."""
+def training_counts(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """Rows of ``lang, word, n`` over the training sample, documents that are not held out."""
     usable = docs.select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held")).filter("lang is not null and text is not null and not held")
     usable = usable.filter(docs["doc_id"].isNotNull())
     near = F.lit(False)
     for lang, n in usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect():
         share = min(1.0, 2 * train_docs / max(1, n))
         near = near | ((F.col("lang") == F.lit(lang)) & (F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
-    found = usable.filter(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = usable.filter(near).groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("chars", F.length("text").cast("long"))
     first = Window.partitionBy("lang").orderBy("h")
-    sample = found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= train_docs).select("lang", "text")
+    upto = F.sum("chars").over(first.rowsBetween(Window.unboundedPreceding, 0))
+    sample = found.filter(F.col("chars") <= train_chars).withColumns({"place": F.row_number().over(first), "upto": upto}).filter((F.col("place") <= train_docs) & (F.col("upto") <= train_chars)).select("lang", "text")
 
     def count(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -230,25 +232,38 @@ def train(docs: DataFrame, model_file: str, train_docs: int = TRAIN_DOCS) -> tup
         for lang, c in found.items():
             yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in sample.mapInPandas(count, schema(lang="string", word="string", n="long")).groupBy("lang", "word").agg(F.sum("n")).collect():
-        counts.setdefault(lang, {})[word] = n
-    pieces = Pieces(model_file)
-    langs = sorted(counts)
-    return langs, [learn(pieces, counts[x]) for x in langs]
+    return sample.mapInPandas(count, schema(lang="string", word="string", n="long")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, model_file: str | bytes, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[list[str], list[list[float]]]:
+    """Languages and their piece probabilities; each language is learned in a task of its own."""
+    model = file_bytes(model_file)
+
+    def of_language(key, f):
+        import pandas as pd
+
+        f = f.sort_values("word", kind="stable")
+        return pd.DataFrame({"lang": [key[0]], "p": [learn(Pieces(model), dict(zip(f["word"], f["n"].tolist())))]})
+
+    counts = training_counts(docs, train_docs, train_chars)
+    found = counts.groupBy("lang").applyInPandas(of_language, schema(lang="string", p="array<double>")).collect()  # one row a language, one number a piece
+    tables = {r["lang"]: list(r["p"]) for r in found}
+    langs = sorted(tables)
+    return langs, [tables[x] for x in langs]
 
 
 def predict(docs: DataFrame, model_file: str) -> DataFrame:
     """Rows of ``doc_id, held_out, lang_pred, score`` for every whole text."""
     small_batches(docs.sparkSession)
-    langs, tables = train(docs, model_file)
+    model = file_bytes(model_file)
+    langs, tables = train(docs, model)
 
     def work(frames: Iterator) -> Iterator:
-        gc.disable()  # the cache holds many small objects and no cycles
-        scorer = Scorer(model_file, langs, tables)
-        for f in frames:
-            found = [scorer.text(t) for t in f["text"]]
-            yield f[["doc_id", "held_out"]].assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
+        scorer = Scorer(model, langs, tables)
+        with no_collector():  # the cache holds many small objects and no cycles
+            for f in frames:
+                found = [scorer.text(t) for t in f["text"]]
+                yield f[["doc_id", "held_out"]].assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return map_rows(rows, work, ["doc_id"], held_out="boolean", lang_pred="string", score="double")

@@ -22,14 +22,13 @@ a Spark string.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, small_batches, text_of
+from .common import file_bytes, map_rows, no_collector, small_batches, text_of
 
 #: Cached encodings of short stretches in a worker: two generations of so many entries.
 CACHE_ENTRIES = 250_000
@@ -42,11 +41,11 @@ MARK = "▁"
 class PieceCodec:
     """Encoder and decoder for one merge-type vocabulary with bytes for unknown characters."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str | bytes):
         import ahocorasick
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        lib = sentencepiece.SentencePieceProcessor(model_proto=file_bytes(model_file))
         n = lib.vocab_size()
         self.eos = lib.eos_id()
         self.names = [lib.id_to_piece(i) for i in range(n)]
@@ -197,13 +196,14 @@ class PieceCodec:
 def encode_documents(docs: DataFrame, model_file: str, end: bool = True) -> DataFrame:
     """Rows of ``doc_id, ids array<int>, decoded string`` for every whole text."""
     small_batches(docs.sparkSession)
+    model = file_bytes(model_file)
 
     def work(frames: Iterator) -> Iterator:
-        gc.disable()  # the caches hold many small lists and no cycles
-        codec = PieceCodec(model_file)
-        for f in frames:
-            ids = [codec.encode(t, end) for t in f["text"]]
-            yield f[["doc_id"]].assign(ids=ids, decoded=[codec.decode(x) for x in ids])
+        codec = PieceCodec(model)
+        with no_collector():  # the caches hold many small lists and no cycles
+            for f in frames:
+                ids = [codec.encode(t, end) for t in f["text"]]
+                yield f[["doc_id"]].assign(ids=ids, decoded=[codec.decode(x) for x in ids])
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     return map_rows(rows, work, ["doc_id"], ids="array<int>", decoded="string")
@@ -215,20 +215,21 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
     Null and empty texts encode to the end id alone; repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
+    model = file_bytes(model_file)
 
     def work(frames: Iterator) -> Iterator:
-        gc.disable()  # the caches hold many small lists and no cycles
-        codec = PieceCodec(model_file)
+        codec = PieceCodec(model)
         shown = [str(i) for i in range(len(codec.names))]
         sha = hashlib.sha256
-        for f in frames:
-            n, a, b = [], [], []
-            for text in f["text"]:
-                ids = codec.encode(text)
-                n.append(len(ids))
-                a.append(sha(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
-                b.append(sha(codec.decode(ids).encode()).hexdigest())
-            yield f[["doc_id"]].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
+        with no_collector():  # the caches hold many small lists and no cycles
+            for f in frames:
+                n, a, b = [], [], []
+                for text in f["text"]:
+                    ids = codec.encode(text)
+                    n.append(len(ids))
+                    a.append(sha(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
+                    b.append(sha(codec.decode(ids).encode()).hexdigest())
+                yield f[["doc_id"]].assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     return map_rows(rows, work, ["doc_id"], n_tokens="long", ids_sha256="string", decoded_sha256="string")
