@@ -77,7 +77,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
 
     The two counts get underscores at their ends where ``docs`` has such columns.
     """
-    lost = lost_positions(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").alias("tm_id"), F.col("mark").alias("tm_mark"), F.col("lost").alias("tm_lost"))
+    # As a table of its own, so that rows that repeat one id and text can be split over tasks.
+    lost = cut(lost_positions(docs.select("doc_id", "text"), min_chars), "lines-lost").select(F.col("doc_id").alias("tm_id"), F.col("mark").alias("tm_mark"), F.col("lost").alias("tm_lost"))
     own = packed(docs, "doc_id", "text")
     joined = own.join(lost, own["doc_id"].eqNullSafe(lost["tm_id"]) & (F.xxhash64(text_of(own)) == lost["tm_mark"]), "left")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
