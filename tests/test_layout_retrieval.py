@@ -87,9 +87,9 @@ def test_dates(spark):
 
 
 def test_leaks(spark):
-    rows = [(1, "a\nmail me@place.org or x@example.org\nMRN: AB12345"), (2, "call 9812345670 or 1111111111"), (3, "0123456789 1234512345"), (4, None), (5, "")]
+    rows = [(1, "a\nmail me@place.org or x@example.org\nMRN: AB12345"), (2, "call 9812345670 or 1111111111"), (3, "0123456789 1234512345"), (6, "x9812345670_y\n+91 9812345671,919812345672 12345678901234"), (4, None), (5, "")]
     got = {(r.doc_id, r.rule): (r.n, r.first_line) for r in K.leaks(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id").collect()}
-    assert got == {(1, "e-mail"): (1, 2), (1, "labelled-id"): (1, 3), (2, "phone"): (1, 1), (3, "phone"): (1, 1)}
+    assert got == {(1, "e-mail"): (1, 2), (1, "labelled-id"): (1, 3), (2, "phone"): (1, 1), (3, "phone"): (1, 1), (6, "phone"): (3, 1)}
 
 
 def test_stream_last_of_day(spark, tmp_path):

@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as e
 from tests.oracle import differences
-from tidemark import queries_data, queries_dictionary, queries_findings, queries_quality, queries_records, queries_series
+from tidemark import queries_chunks, queries_data, queries_dictionary, queries_findings, queries_quality, queries_records, queries_series
 
-OWN = queries_series.QUERIES | queries_quality.QUERIES | queries_data.QUERIES | queries_dictionary.QUERIES | queries_findings.QUERIES | queries_records.QUERIES
-SQL = queries_series.ORACLE | queries_quality.ORACLE | queries_data.ORACLE | queries_dictionary.ORACLE | queries_findings.ORACLE | queries_records.ORACLE
+OWN = queries_series.QUERIES | queries_quality.QUERIES | queries_data.QUERIES | queries_chunks.QUERIES | queries_dictionary.QUERIES | queries_findings.QUERIES | queries_records.QUERIES
+SQL = queries_series.ORACLE | queries_quality.ORACLE | queries_data.ORACLE | queries_chunks.ORACLE | queries_dictionary.ORACLE | queries_findings.ORACLE | queries_records.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -119,14 +119,13 @@ def test_axes(spark):
 def test_search_by_concept_and_day(spark):
     chunks = spark.createDataFrame([("k", "creatinine rose slowly"), ("o", "platelets were stable"), ("d", "nothing named here"), ("w", "kidneys looked normal")], "id string, text string")
     dictionary = spark.createDataFrame([("creatinine", "Creatinine", ["creat"], "how the kidneys work")], "analyte string, display string, aliases array<string>, plain string")
-    concepts = retrieval.concept_index(dictionary)
-    assert ("kidneys", "creatinine") in {tuple(r) for r in concepts.collect()}
+    assert ("kidneys", "creatinine") in {tuple(r) for r in retrieval.concept_index(dictionary).collect()}
     days = spark.createDataFrame([("d", "day", 5, date(2024, 1, 5)), ("o", "series", 6, date(2024, 1, 6))], "id string, kind string, day int, date date")
     found = lambda q, **more: [r.id for r in retrieval.search(q, chunks, **more).orderBy("place").collect()]
     assert found("what about the kidneys?") == ["w"]
-    assert found("what about the kidneys?", concepts=concepts) == ["w", "k"]
-    assert found("kidneys on day 5?", concepts=concepts, chunk_days=days)[0] == "d"
+    assert found("what about the kidneys?", entries=dictionary) == ["w", "k"]
+    assert found("kidneys on day 5?", entries=dictionary, chunk_days=days)[0] == "d"
     assert found("anything on 6 January?", chunk_days=days) == ["o"]
     assert found("anything?", chunk_days=days) == []
-    said = retrieval.answer("kidneys on day 5?", chunks, lambda m: m[-1]["content"], concepts=concepts, chunk_days=days)
+    said = retrieval.answer("kidneys on day 5?", chunks, lambda m: m[-1]["content"], entries=dictionary, chunk_days=days)
     assert said["ok"] and said["sources"][0] == "d" and "creatinine rose" in said["text"]

@@ -140,5 +140,7 @@ def test_all_rules_in_one_shape(spark):
     obs = p.select("patient_id", "analyte", "day", F.when((F.col("analyte") == "inr") & (F.col("day") == 3), "CH").alias("printed_flag"))
     scores = spark.createDataFrame([(1, 1, 20.0), (1, 2, 30.0)], "patient_id long, day int, score double")
     got = {(r.rule, r.severity) for r in rules.all_findings(p, obs, scores).collect()}
-    assert {("synthetic-failure", "critical"), ("renal-cluster", "high"), ("infection-cluster", "moderate"), ("critical-flag", "critical"), ("meld-escalation", "high"), ("rising-run", "moderate")} <= got
+    assert {("synthetic-failure", "high"), ("renal-cluster", "high"), ("infection-cluster", "moderate"), ("critical-flag", "critical"), ("meld-escalation", "high"), ("rising-run", "moderate")} <= got
+    heard = {(r.rule, r.analyte) for r in rules.for_audience(rules.all_findings(p, obs, scores), "family").collect()}
+    assert ("rising-run", "inr") in heard and ("rising-run", "wbc") not in heard and ("critical-flag", "inr") in heard
     assert rules.all_findings(p.limit(0), obs.limit(0), scores.limit(0)).select(rules.audience().alias("a")).count() == 0

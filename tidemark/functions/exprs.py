@@ -108,16 +108,13 @@ def general(x: Column, signed: bool = False) -> Column:
 
     A seventh digit of 5 that is the last one of the shortest decimal rounds up.
     """
-    short_zeros = lambda t: F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1")
-    no_dot = lambda t: F.regexp_replace(short_zeros(t), r"\.$", "")
+    bare = lambda t: F.regexp_replace(t, r"\.?0+$", "")
     sci = F.format_string("%.5e", x)
-    power = F.regexp_extract(sci, "e(.*)$", 1).cast("int")
-    text = F.concat(no_dot(F.regexp_extract(sci, "^(.*)e", 1)), F.regexp_extract(sci, "(e.*)$", 1))
-    for k in range(-4, 6):
-        text = F.when(power == k, no_dot(F.format_string(f"%.{5 - k}f", x)) if k < 5 else F.format_string("%.0f", x)).otherwise(text)
-    text = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)
-    text = F.concat(F.when(F.startswith(text, F.lit("-")), "").otherwise("+"), text) if signed else text
-    return F.when(x.isNotNull(), text)
+    power = F.regexp_extract(sci, "e(.*)$", 1).try_cast("int")
+    fixed_text = F.call_function("format_string", F.concat(F.lit("%."), (5 - power).cast("string"), F.lit("f")), x)
+    text = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(power == 5, F.format_string("%.0f", x))
+    text = text.when(power.between(-4, 4), bare(fixed_text)).otherwise(F.concat(bare(F.regexp_extract(sci, "^(.*)e", 1)), F.regexp_extract(sci, "(e.*)$", 1)))
+    return F.concat(F.when(x >= 0, "+").when(F.isnan(x), "+").otherwise(""), text) if signed else F.when(x.isNotNull(), text)
 
 
 def signed_percent(x: Column) -> Column:

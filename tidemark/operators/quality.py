@@ -117,6 +117,29 @@ def dedupe_by_support(obs: DataFrame, key: list[str]) -> DataFrame:
     return best.select(*key, F.col("w.seq").alias("seq"), F.col("w.value").alias("value"), "n_rows", F.size(F.array_remove("values", F.col("w.value"))).cast("long").alias("other_values"))
 
 
+def dedupe_conflicts(obs: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key, as rows in input order meet: the better supported stays, the earlier one of equals.
+
+    Support is that readings agree, their number, and that the row isn't under review.  Where the values differ, the one that stays is under review from
+    then on, which counts in later meetings, and lists the other.  Rows: ``key, seq, value, needs_review, conflicts``
+    with ``conflicts`` an array of ``seq, value``.
+    """
+    r = readings()
+    none = F.array().cast("array<struct<seq:bigint,value:double>>")
+    row = F.struct(F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"), ((F.size(F.array_distinct(r)) == 1) & (F.size(r) > 1)).alias("agree"), F.size(r).alias("n"), (flag_gate() == "fail").alias("review"), none.alias("conflicts"))
+
+    def meet(best: Column, other: Column) -> Column:
+        differ = F.coalesce(best["value"] != other["value"], F.lit(False))
+        wins = F.struct(other["agree"], other["n"], ~other["review"]) > F.struct(best["agree"], best["n"], ~best["review"])
+        lost = lambda x: F.when(differ, F.array(F.struct(x["seq"].alias("seq"), x["value"].alias("value")))).otherwise(none)
+        kept = lambda x, more: F.struct(*[x[c].alias(c) for c in ("seq", "value", "agree", "n")], (x["review"] | differ).alias("review"), F.concat(x["conflicts"], more).alias("conflicts"))
+        return F.when(wins, kept(other, lost(best))).otherwise(kept(best, lost(other)))
+
+    rows = F.array_sort(F.collect_list(row))
+    folded = obs.groupBy(*key).agg(rows.alias("rows")).withColumn("w", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.get("rows", F.lit(0)), meet))
+    return folded.select(*key, "w.seq", "w.value", F.col("w.review").alias("needs_review"), "w.conflicts")
+
+
 def consensus_range(obs: DataFrame) -> DataFrame:
     """First range with a bound per analyte, in input order."""
     ranged = obs.filter("low is not null or high is not null")

@@ -159,13 +159,6 @@ def discordance(moves: DataFrame, one: str, other: str, least: int = 1) -> DataF
     return g.filter((F.col("measured") >= 2) & (first | second)).select("patient_id", F.when(first, "down-but-worse").otherwise("up-but-better").alias("kind"), "up", "down", "worse", "better")
 
 
-def trend_alarms(moves: DataFrame, rising: str, low_of: str) -> DataFrame:
-    """A marker that rises in the window (high if its last value is above range), and one whose last value is below range."""
-    up = moves.filter((F.col("analyte") == rising) & (F.col("dir") > 0)).select(F.lit("rise").alias("rule"), F.when(F.col("last_value") > F.col("high"), "high").otherwise("moderate").alias("severity"), "patient_id", "analyte", "last_value")
-    down = moves.filter((F.col("analyte") == low_of) & (F.col("last_value") < F.col("low"))).select(F.lit("low").alias("rule"), F.lit("high").alias("severity"), "patient_id", "analyte", "last_value")
-    return up.unionByName(down)
-
-
 def carried(points: DataFrame, max_days: int | None = 2) -> DataFrame:
     """The last value of each series on every day of the patient's record, at most ``max_days`` old."""
     days = points.select("patient_id", "day").distinct()

@@ -6,9 +6,13 @@ Observations have at least ``patient_id, analyte, display, day, collected, kind,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import general, reference_sentence
+from ..functions.words import day_label
+from ..operators.lookups import lookup
+
 SHAPE = ["patient_id", "id", "kind", "text", "analytes", "days", "dates", "pages", "cites"]
 
 
@@ -28,6 +32,39 @@ def chunked(df: DataFrame, cites: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*SHAPE)
 
 
+def value_chunks(obs: DataFrame, entries: DataFrame) -> DataFrame:
+    """One chunk per patient and analyte: all its values in order, its range, the laboratory's flags, and what the dictionary says of it.
+
+    A value has its time where the day has several.  ``obs`` has ``value, unit, low, high, seq`` besides; ``entries`` is the dictionary.
+    """
+    w = Window.partitionBy("patient_id", "analyte").orderBy("collected", "seq")
+    date = F.to_date("collected")
+    several = F.coalesce(date == F.lag(date).over(w), F.lit(False)) | F.coalesce(date == F.lead(date).over(w), F.lit(False))
+    o = obs.filter("kind = 'quantity' and value is not null").withColumn("several", several)
+    said = F.concat(general(F.col("value")), F.lit(" ("), F.when(F.col("several"), day_label(F.col("collected"), True)).otherwise(day_label(F.col("collected"))), F.lit(")"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("collected", "seq", said.alias("said")))), lambda x: x["said"])
+    first = F.min_by(F.struct("unit", "low", "high"), F.struct("collected", "seq"))
+    cite = F.when(F.col("page").isNotNull() & date.isNotNull(), F.struct("page", date.alias("date")))
+    cites = F.array_join(F.transform(F.array_sort(F.collect_set(cite)), lambda s: F.concat_ws("@", s["page"].cast("string"), s["date"].cast("string"))), " ")
+    g = o.groupBy("patient_id", "analyte").agg(F.array_join(items, ", ").alias("said"), first.alias("f"), F.array_join(F.array_sort(F.collect_set("interpretation")), ", ").alias("flags"), F.array_sort(F.collect_set("day")).alias("days"), F.array_sort(F.collect_set(date)).alias("dates"), F.array_sort(F.collect_set("page")).alias("pages"), cites.alias("cites"))
+    g = lookup(g, entries.select("analyte", "display", "system", "plain"), "analyte")
+    none = lambda c, other: F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(other)
+    text = F.concat(F.coalesce("display", "analyte"), F.lit(" ("), F.col("analyte"), F.lit("), "), F.coalesce("system", F.lit("other")), F.lit(". Values over time: "), F.col("said"), F.lit(". Units "), none(F.col("f.unit"), "none"), F.lit(". "), none(reference_sentence(F.col("f.low"), F.col("f.high")), "No range printed."), F.lit(" Flags: "), none(F.col("flags"), "none"), F.lit(". "), F.coalesce("plain", F.lit("")))
+    return g.withColumns({"id": F.concat(F.lit("series:"), F.col("analyte")), "kind": F.lit("series"), "text": F.trim(text), "analytes": F.array("analyte")}).select(*SHAPE)
+
+
+def finding_chunks(found: DataFrame, obs: DataFrame, entries: DataFrame) -> DataFrame:
+    """One chunk per finding in words (``headline, detail, evidence, place``); cited by the observations of its evidence days,
+    of its analyte if it has one, else of all (JOIN-15)."""
+    f = lookup(found, entries.select("analyte", "plain"), "analyte")
+    days = F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["day"])))
+    text = F.concat(F.lit("Detected pattern ("), F.col("severity"), F.lit("): "), F.col("headline"), F.lit(" "), F.col("detail"), F.lit(" Analyte: "), F.coalesce("analyte", F.lit("none")), F.lit(". "), F.coalesce("plain", F.lit("")))
+    f = f.withColumns({"id": F.format_string("pattern:%s:%d", "rule", "place"), "kind": F.lit("pattern"), "text": F.trim(text), "analytes": F.array_compact(F.array("analyte")), "days": days})
+    spread = f.select("patient_id", "id", F.col("analyte").alias("of"), F.explode("days").alias("day"))
+    hits = spread.join(obs.select("patient_id", "day", "analyte", "page", "collected"), ["patient_id", "day"]).filter("of is null or of = analyte")
+    return chunked(f, seen(hits, ["patient_id", "id"]), ["patient_id", "id"])
+
+
 def score_chunks(scores: DataFrame, obs: DataFrame) -> DataFrame:
     """One chunk per patient and day of ``patient_id, day, name, score`` (struct of a score), cited by all observations of the day (JOIN-14)."""
     s = F.col("score")

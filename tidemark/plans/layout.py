@@ -5,13 +5,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed_values import BAND_LABELS, SAMPLE_NO
 from ..functions.exprs import id_stem
 from ..operators.labels import match_labels, similarity  # noqa: F401
 
 OVERLAP = 0.6
+#: Items on a sheet.
+SHEET = 22
 #: Fractions of the page width where the columns test, result and unit end.
 COLUMNS = (("test", 0.29), ("result", 0.595), ("unit", 0.695))
 DARK, TOP_SHARE, LEAST_SHARE, MOST_SHARE, MEAN_DARK = 195, 0.10, 0.012, 0.035, 160
@@ -25,30 +30,35 @@ def words_from_tsv(spark, path: str) -> DataFrame:
 
 
 def group_lines(words: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Words with ``line``: a word joins the first line whose first word overlaps it vertically enough.
+    """Words with ``line``: a word joins the first line whose first word it overlaps vertically by more than ``overlap`` of the lower of both.
 
-    This is sequential within a page, so each page is one small pandas group.
+    Pages are sorted by the top of their words and streamed.  A line whose first word ends above the next word's top can't
+    be joined any more, so only the lines that reach that far down are held, in the order in which they began, which is that of their numbers.
     """
 
-    def of_page(pdf):
-        pdf = pdf.sort_values(["top", "left", "word_no"])
-        firsts: list[tuple[int, int]] = []
-        lines = []
-        for top, height in zip(pdf["top"], pdf["height"]):
-            for k, (a, b) in enumerate(firsts):
-                if min(top + height, b) - max(top, a) >= overlap * min(height, b - a):
-                    lines.append(k)
-                    break
-            else:
-                lines.append(len(firsts))
-                firsts.append((top, top + height))
-        order = sorted(range(len(firsts)), key=lambda k: firsts[k][0])
-        rank = {k: i for i, k in enumerate(order)}
-        return pdf.assign(line=[rank[k] for k in lines])
+    def number(frames: Iterator) -> Iterator:
+        page, lines, n = None, [], 0
+        for f in frames:
+            out = []
+            for at, top, height in zip(f["tm_page"], f["top"], f["height"]):
+                if at != page:
+                    page, lines, n = at, [], 0
+                lines = [x for x in lines if x[2] > top]
+                for k, a, b in lines:
+                    if min(top + height, b) - top > overlap * min(height, b - a):
+                        out.append(k)
+                        break
+                else:
+                    out.append(n)
+                    lines.append((n, top, top + height))
+                    n += 1
+            yield f.drop(columns="tm_page").assign(line=out)
 
     from pyspark.sql import types as T
 
-    return words.groupBy("page").applyInPandas(of_page, T.StructType([*words.schema.fields, T.StructField("line", T.LongType())]))
+    keyed = words.withColumn("tm_page", F.coalesce(F.col("page").cast("string"), F.lit("")))
+    streamed = keyed.repartition("tm_page").sortWithinPartitions("tm_page", "top", "left", "word_no")
+    return streamed.mapInPandas(number, T.StructType([*words.schema.fields, T.StructField("line", T.LongType())]))
 
 
 def to_rows(words: DataFrame, width: int) -> DataFrame:
@@ -111,23 +121,56 @@ def pair_bands(runs: DataFrame) -> DataFrame:
     return r.select("page", "top", "bottom", F.when(F.col("place") % 2 == 1, "sample").when(F.col("link"), "header").otherwise("unknown").alias("kind"))
 
 
-def batches(items: DataFrame, size: int = 22) -> DataFrame:
-    """``seq, analyte`` with the number of a sheet: a sheet closes at a change of analyte once it is full.
+def batches(items: DataFrame, size: int = SHEET, by: tuple[str, ...] = ()) -> DataFrame:
+    """Items ``seq, analyte`` with the number of a ``sheet``, counted anew for each ``by``: a sheet closes at a change of analyte once it is full.
+
+    What is walked through in order is one entry per analyte, the number of its items, so no task holds the items of a group.
+    """
+    counts = items.groupBy(*by, "analyte").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    walk = F.array_sort(F.collect_list(F.struct("first", "analyte", "n")))
+    lists = counts.groupBy(*by).agg(walk.alias("walk"))
+    none = F.array().cast("array<struct<analyte:string,sheet:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("sheet"), F.lit(0).cast("long").alias("held"), none.alias("out"))
+
+    def step(s: Column, g: Column) -> Column:
+        full = s["held"] >= size
+        sheet = s["sheet"] + F.when(full, 1).otherwise(0)
+        here = F.struct(g["analyte"].cast("string").alias("analyte"), sheet.alias("sheet"))
+        return F.struct(sheet.alias("sheet"), (F.when(full, 0).otherwise(s["held"]) + g["n"]).alias("held"), F.concat(s["out"], F.array(here)).alias("out"))
+
+    sheets = lists.select(*by, F.inline(F.aggregate("walk", start, step)["out"]))
+    same = F.col("i.analyte").eqNullSafe(F.col("s.analyte"))
+    for c in by:
+        same = same & F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return items.alias("i").join(sheets.alias("s"), same).select("i.*", "s.sheet")
+
+
+def band_segments(text: Column, labels: dict[str, str] = BAND_LABELS) -> Column:
+    """A heading's text as a map from label to what stands between it and the next label found, in whatever order they are.
+
+    A label counts at its first place; those that aren't found are not in the map.
+    """
+    places = [F.struct(F.regexp_instr(text, F.lit(p)).alias("start"), F.length(F.regexp_substr(text, F.lit(p))).alias("size"), F.lit(k).alias("label")) for k, p in labels.items()]
+    found = F.array_sort(F.filter(F.array(*places), lambda x: x["start"] > 0))
+    ends = F.concat(F.slice(F.transform(found, lambda x: x["start"]), 2, len(labels)), F.array(F.length(text) + 1))
+    return F.map_from_entries(F.zip_with(found, F.slice(ends, F.lit(1), F.greatest(F.size(found), F.lit(0))), lambda x, end: F.struct(x["label"], F.substring(text, x["start"] + x["size"], end - x["start"] - x["size"]))))
+
+
+def sample_no(text: Column) -> Column:
+    """The number after the first label, null without one."""
+    return F.nullif(F.regexp_extract(text, SAMPLE_NO, 1), F.lit(""))
+
+
+def within_window(samples: DataFrame, gap: int = 2) -> DataFrame:
+    """Samples of ``patient_id, seq, date`` (and more) with dates outside the patient's window gone and ``date_suspect`` set.
 
-    Whole analytes are counted first, so only one row per analyte is walked through in order.
+    ``human_verified`` samples, where there is such a column, keep their dates.
     """
-    groups = items.groupBy("analyte").agg(F.min("seq").alias("first"), F.count("*").alias("n")).withColumn("one", F.lit(1))
-
-    def walk(pdf):
-        sheet, held, out = 0, 0, []
-        for n in pdf.sort_values("first")["n"]:
-            if held >= size:
-                sheet, held = sheet + 1, 0
-            out.append(sheet)
-            held += n
-        return pdf.sort_values("first").assign(sheet=out)[["analyte", "sheet"]]
-
-    return items.join(groups.groupBy("one").applyInPandas(walk, "analyte string, sheet long"), "analyte")
+    w = date_window(samples.filter("date is not null"), gap)
+    sure = F.coalesce(F.col("human_verified"), F.lit(False)) if "human_verified" in samples.columns else F.lit(False)
+    out = ~sure & F.coalesce((F.col("date") < F.col("first_date")) | (F.col("date") > F.col("last_date")), F.lit(False))
+    j = samples.join(w, "patient_id", "left").withColumn("date_suspect", out)
+    return j.select(*[F.when(~F.col("date_suspect"), F.col("date")).alias("date") if c == "date" else F.col(c) for c in samples.columns], "date_suspect")
 
 
 def override(bands: DataFrame, by_hand: DataFrame, fields: list[str]) -> DataFrame:

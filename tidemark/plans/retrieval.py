@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import EVERYDAY
+from ..fixed_values import EVERYDAY, EVERYDAY_TERMS
 from ..functions.exprs import fixed, tokens
+from ..operators.lookups import lookup
 
 K1, B, TOP, FAN_OUT, EXPANDED = 1.5, 0.75, 8, 8, 0.6
 #: So many different query terms at most are broadcast; more are joined by a shuffle of the tokens.
@@ -55,31 +56,48 @@ def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     return best(bm25_scores(chunks, queries), top)
 
 
-def date_boost(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> DataFrame:
-    """Scores of chunks that hold an asked day: doubled, plus 3 for day chunks and 2 for others."""
-    days = chunk_days.join(asked, "day").select("qid", "id", "kind").distinct()
-    j = hits.join(days, ["qid", "id"], "left")
-    return j.withColumn("score", F.when(F.col("kind").isNotNull(), F.col("score") * 2 + F.when(F.col("kind") == "day", 3).otherwise(2)).otherwise(F.col("score"))).drop("kind")
+def date_hits(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> DataFrame:
+    """:func:`raised` for chunks of ``id, kind, day`` and the days ``qid, day`` asked for."""
+    return raised(hits, chunk_days.join(asked, "day").select("qid", "id", "kind"))
 
 
-def date_hits(hits: DataFrame, chunk_days: DataFrame, asked: DataFrame) -> DataFrame:
-    """As :func:`date_boost`, with the chunks that hold an asked day and no word of the question: 3 for day chunks, 2 for others."""
-    days = chunk_days.join(asked, "day").groupBy("qid", "id").agg(F.min("kind").alias("kind"))
+def raised(hits: DataFrame, dated: DataFrame) -> DataFrame:
+    """Scores with those of chunks ``dated`` (``qid, id, kind``) doubled, plus 3 for day chunks and 2 for others, also where no word of the question is in them."""
+    days = dated.groupBy("qid", "id").agg(F.min("kind").alias("kind"))
     j = hits.join(days, ["qid", "id"], "full")
     plus = F.when(F.col("kind").isNull(), 0).when(F.col("kind") == "day", 3).otherwise(2)
     score = F.coalesce("score", F.lit(0.0)) * F.when(F.col("kind").isNull(), 1).otherwise(2) + plus
     return j.withColumn("score", score).drop("kind")
 
 
-def expand(queries: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Query terms with weight 1 and their concepts' terms with less; a word with many concepts adds none.
+def everyday(spark, words: dict[str, str]) -> DataFrame:
+    """A fixed table of words and what they stand for as ``word, term``."""
+    return spark.createDataFrame([(w, t) for w, terms in words.items() for t in terms.split()], "word string, term string")
+
+
+def concept_index(entries: DataFrame) -> DataFrame:
+    """``word, analyte`` from dictionary entries of ``analyte, display, aliases, plain``: all their words stand for the analyte."""
+    blob = F.concat_ws(" ", F.translate("analyte", "_", " "), "display", F.array_join("aliases", " "), "plain")
+    return entries.select(F.explode(F.array_distinct(tokens(blob))).alias("word"), "analyte").distinct()
+
+
+def expand(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Terms of ``qid, term`` with weight 1, and with less the words of the analytes that they stand for, as ``qid, term, weight``.
 
-    ``queries``: ``qid, term``; ``concepts``: ``word, term``.
+    A word stands for an analyte by the fixed everyday words, or by the dictionary's entries unless it is in more than
+    ``FAN_OUT`` of them.  An analyte's words are those of its key and of its display name.
     """
-    few = F.count("*").over(Window.partitionBy("word"))
-    c = concepts.withColumn("fan", few).filter(F.col("fan") <= FAN_OUT).drop("fan")
-    extra = queries.join(c, queries["term"] == c["word"]).select("qid", c["term"], F.lit(EXPANDED).alias("weight"))
-    return queries.select("qid", "term", F.lit(1.0).alias("weight")).unionByName(extra).groupBy("qid", "term").agg(F.max("weight").alias("weight"))
+    spark = queries.sparkSession
+    asked = queries.select("qid", F.col("term").alias("word")).distinct()
+    index = concept_index(entries)
+    few = index.groupBy("word").agg(F.count("*").alias("fan")).filter(F.col("fan") <= FAN_OUT).select("word")
+    known = index.join(few, "word").unionByName(everyday(spark, EVERYDAY).select("word", F.col("term").alias("analyte")))
+    meant = asked.join(known, "word").select("qid", "analyte").distinct()
+    named = lookup(meant, entries.select("analyte", "display"), "analyte")
+    words = named.select("qid", F.explode(tokens(F.concat_ws(" ", F.translate("analyte", "_", " "), "display"))).alias("term"))
+    words = words.unionByName(asked.join(everyday(spark, EVERYDAY_TERMS), "word").select("qid", "term"))
+    every = queries.select("qid", "term", F.lit(1.0).alias("weight")).unionByName(words.withColumn("weight", F.lit(EXPANDED)))
+    return every.groupBy("qid", "term").agg(F.max("weight").alias("weight"))
 
 
 #: Fixed value: month names by their first three letters.
@@ -110,11 +128,6 @@ def mentioned_days(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\bday\s*([0-9]{1,2})\b"), F.lit(1)), lambda x: x.cast("int"))))
 
 
-def everyday_concepts(spark) -> DataFrame:
-    """The fixed everyday words as ``word, term``."""
-    return spark.createDataFrame([(w, t) for w, terms in EVERYDAY.items() for t in terms.split()], "word string, term string")
-
-
 def citations(rows: DataFrame, by: str) -> DataFrame:
     """Distinct (page, date) pairs per group, sorted, as text."""
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("page", "date"))), lambda s: F.concat_ws("@", s["page"].cast("string"), s["date"].cast("string"))), " ").alias("cites"))
@@ -126,34 +139,32 @@ def prompt(question: str, hits: list[tuple[str, str]]) -> list[dict]:
     return [{"role": "system", "content": "Answer from the numbered sources only and name them. Say so if they don't tell."}, {"role": "user", "content": f"Sources:\n{sources}\n\nQuestion: {question}"}]
 
 
-def concept_index(dictionary: DataFrame) -> DataFrame:
-    """``word, term`` from a dictionary of ``analyte, display, aliases, plain``: all its words stand for the analyte."""
-    blob = F.concat_ws(" ", F.translate("analyte", "_", " "), "display", F.array_join("aliases", " "), "plain")
-    return dictionary.select(F.explode(F.array_distinct(tokens(blob))).alias("word"), F.col("analyte").alias("term"))
-
+def ask(questions: DataFrame, chunks: DataFrame, entries: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """The best chunks for each question of ``qid, text``, as ``qid, id, score, place``.
 
-def search(question: str, chunks: DataFrame, concepts: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
-    """The best chunks for one question, as ``qid, id, score, place``.
-
-    Its words are expanded by ``concepts`` (``word, term``).  Chunks of the days it names, by number
+    Words are expanded by the dictionary's ``entries``.  Chunks of the days that a question names, by number
     or by date, are raised, also those without any of its words; ``chunk_days`` is ``id, kind, day, date``.
     """
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame([(1, question)], "qid int, text string")
-    q = asked.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    q = q.withColumn("weight", F.lit(1.0)) if concepts is None else expand(q, concepts)
+    q = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    q = q.withColumn("weight", F.lit(1.0)) if entries is None else expand(q, entries)
     hits = bm25_scores(chunks, q)
     if chunk_days is not None:
-        named = asked.select(mentioned_days(F.col("text")).alias("days"), mentioned_dates(F.col("text")).alias("dates")).first()
-        hit = F.col("day").isin(named["days"]) | (F.month("date") * 100 + F.dayofmonth("date")).isin(named["dates"])
-        found = chunk_days.filter(F.coalesce(hit, F.lit(False))).select("id", "kind", F.lit(1).alias("day"))
-        hits = date_hits(hits, found, spark.createDataFrame([(1, 1)], "qid int, day int"))
+        number = questions.select("qid", F.explode(mentioned_days(F.col("text"))).alias("day"))
+        named = questions.select("qid", F.explode(mentioned_dates(F.col("text"))).alias("at"))
+        found = chunk_days.join(number, "day").select("qid", "id", "kind")
+        found = found.unionByName(chunk_days.withColumn("at", F.month("date") * 100 + F.dayofmonth("date")).join(named, "at").select("qid", "id", "kind"))
+        hits = raised(hits, found)
     return best(hits, top)
 
 
-def answer(question: str, chunks: DataFrame, chat: Callable[[list[dict]], str], top: int = TOP, concepts: DataFrame | None = None, chunk_days: DataFrame | None = None) -> dict:
+def search(question: str, chunks: DataFrame, entries: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """The best chunks for one question, as :func:`ask` finds them."""
+    return ask(chunks.sparkSession.createDataFrame([(1, question)], "qid int, text string"), chunks, entries, chunk_days, top)
+
+
+def answer(question: str, chunks: DataFrame, chat: Callable[[list[dict]], str], top: int = TOP, entries: DataFrame | None = None, chunk_days: DataFrame | None = None) -> dict:
     """Retrieve, ask the given model, and keep the sources if it fails; only ``top`` rows reach the driver."""
-    found = search(question, chunks, concepts, chunk_days, top).join(chunks, "id").orderBy("place").select("id", "text").collect()
+    found = search(question, chunks, entries, chunk_days, top).join(chunks, "id").orderBy("place").select("id", "text").collect()
     hits = [(str(r["id"]), r["text"]) for r in found]
     try:
         return {"ok": True, "text": chat(prompt(question, hits)), "sources": [i for i, _ in hits]}

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import FAILURE, INFECTION_MARKERS, LIVER_MARKERS, RENAL
+from ..fixed_values import BOTH, DOCTOR, FAILURE, INFECTION_MARKERS, LIVER_MARKERS, RENAL
+from ..functions.words import valence_of
 from ..operators import series as S
 from . import views as V
 
@@ -41,7 +42,7 @@ def spanned(found: DataFrame, moves: DataFrame, members: Iterable[str], moving:
 
 
 def failure(moves: DataFrame, wanted: dict[str, int] = FAILURE) -> DataFrame:
-    return shaped(spanned(S.conjunction(moves, wanted), moves, wanted).withColumn("severity", F.lit("critical")), "synthetic-failure")
+    return shaped(spanned(S.conjunction(moves, wanted), moves, wanted).withColumn("severity", F.lit("high")), "synthetic-failure")
 
 
 def renal(moves: DataFrame, wanted: dict[str, int] = RENAL) -> DataFrame:
@@ -94,6 +95,20 @@ def all_findings(points: DataFrame, obs: DataFrame, scores: DataFrame, move_rule
     return out
 
 
-def audience() -> Column:
-    """Whom a finding is for: severe ones for everybody, the rest for the ward."""
-    return F.when(F.col("severity").isin("critical", "high"), F.array(F.lit("ward"), F.lit("family"))).otherwise(F.array(F.lit("ward")))
+#: Rules whose finding says whether a move is good or bad.
+JUDGED = ("rising-run", "falling-run", "delta-24h")
+
+
+def audience(valence: Column | None = None) -> Column:
+    """Whom a finding is for: all of them for the doctor, and for the family those but discordance and moves of analytes that have no good direction.
+
+    ``valence`` is the analyte's, by default that of the fixed lists.
+    """
+    way = valence_of(F.col("analyte")) if valence is None else valence
+    alone = (F.col("rule") == "discordance") | (F.col("rule").isin(*JUDGED) & way.isNull())
+    return F.when(alone, F.array(*[F.lit(w) for w in DOCTOR])).otherwise(F.array(*[F.lit(w) for w in BOTH]))
+
+
+def for_audience(found: DataFrame, who: str, valence: Column | None = None) -> DataFrame:
+    """The findings that are for somebody (FLT-9)."""
+    return found.filter(F.array_contains(audience(valence), who))

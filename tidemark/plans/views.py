@@ -74,15 +74,6 @@ def compare_days(points: DataFrame, one: int, other: int) -> DataFrame:
     return g.filter("before is not null and after is not null").withColumn("delta", fixed(F.col("after") - F.col("before")))
 
 
-def pivot_days(points: DataFrame, days: list[int], value: str = "value") -> DataFrame:
-    """Series by day, one column per day of an explicit list."""
-    return points.groupBy(*KEYS).agg(*[F.max(F.when(F.col("day") == d, F.col(value))).alias(f"d{d}") for d in days])
-
-
-def heatmap(points: DataFrame, days: list[int]) -> DataFrame:
-    return pivot_days(heat_folds(points), days, "fold")
-
-
 def heat_folds(points: DataFrame) -> DataFrame:
     return points.withColumn("fold", fixed(heat_fold(F.col("value"), F.col("low"), F.col("high")), 2))
 
@@ -121,11 +112,6 @@ def findings(points: DataFrame) -> DataFrame:
     return runs.unionByName(crossings)
 
 
-def grouped_findings(found: DataFrame) -> DataFrame:
-    """Findings of a kind together: number, patients, and the analytes by name."""
-    return found.groupBy("severity", "rule").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"), F.array_join(F.array_sort(F.collect_set("analyte")), ",").alias("analytes"))
-
-
 def ranked(found: DataFrame, top: int) -> DataFrame:
     """The first findings by severity, rule, analyte, patient and day."""
     order = [severity_rank(), "rule", "analyte", "patient_id", "from_day"]

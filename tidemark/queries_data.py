@@ -10,6 +10,8 @@ from .plans import checks as K
 from .plans import layout as L
 from .plans import retrieval as R
 from .plans import scores as C
+from .sources.roles import ROLE_SQL
+from .sources.roles import observations as measured_roles
 from .sources.tables import OBS_SQL, observations, read
 
 QUERIES: dict = {}
@@ -123,19 +125,6 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(chunks(spark, sf_dir), q)
 
 
-CONCEPTS = [("kidney", "creatinine"), ("kidney", "urea"), ("liver", "bilirubin"), ("liver", "albumin"), ("infection", "wbc")] + [("blood", f"b{k}") for k in range(10)]
-
-
-@query("""WITH q AS (SELECT o_orderkey % 7 AS qid, CASE o_orderkey % 3 WHEN 0 THEN 'kidney' WHEN 1 THEN 'liver' ELSE 'blood' END AS term FROM orders GROUP BY ALL),
-c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in CONCEPTS) + """) c(word, term)),
-few AS (SELECT word FROM c GROUP BY word HAVING count(*) <= 8)
-SELECT qid, term, max(weight) AS weight FROM (SELECT qid, term, 1.0::DOUBLE AS weight FROM q UNION ALL SELECT qid, c.term, 0.6::DOUBLE FROM q JOIN c ON q.term = c.word JOIN few USING (word)) GROUP BY ALL""")
-def query_expansion(spark, sf_dir):
-    k = F.col("o_orderkey")
-    q = read(spark, sf_dir, "orders").select((k % 7).alias("qid"), F.when(k % 3 == 0, "kidney").when(k % 3 == 1, "liver").otherwise("blood").alias("term")).distinct()
-    return R.expand(q, spark.createDataFrame(CONCEPTS, "word string, term string"))
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN least(month(o_orderdate) * 100 + day(o_orderdate), day(o_orderdate) * 100 + month(o_orderdate))
 ELSE month(o_orderdate) * 100 + day(o_orderdate) END AS asked FROM orders""")
 def date_mentions(spark, sf_dir):
@@ -150,17 +139,6 @@ def citations(spark, sf_dir):
     return R.citations(c, "conv_id")
 
 
-@query("""WITH h AS (SELECT conv_id % 5 AS qid, conv_id AS id, count(*)::DOUBLE AS score FROM conversations GROUP BY ALL),
-d AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE turn = 2)
-SELECT qid, id, CASE WHEN d.id IS NOT NULL THEN score * 2 + CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END ELSE score END AS score FROM h LEFT JOIN d USING (id)""")
-def date_boost(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    hits = c.groupBy((F.col("conv_id") % 5).alias("qid"), F.col("conv_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
-    days = c.select(F.col("conv_id").alias("id"), F.col("turn").alias("day"), F.when(F.col("conv_id") % 2 == 0, "day").otherwise("series").alias("kind"))
-    asked = spark.createDataFrame([(q, 2) for q in range(5)], "qid long, day long")
-    return R.date_boost(hits, days, asked).select("qid", "id", "score")
-
-
 @query("""WITH c AS (SELECT conv_id % 5 AS qid, conv_id AS id, turn FROM conversations),
 h AS (SELECT qid, id, count(*)::DOUBLE AS score FROM c WHERE turn = 1 AND id % 3 <> 0 GROUP BY ALL),
 d AS (SELECT DISTINCT qid, id FROM c WHERE turn = 2 AND qid < 4)
@@ -200,7 +178,7 @@ def last_turns(spark, sf_dir):
 LEAK_SQL = f"""
 WITH hits AS (
   SELECT doc_id, text, 'labelled-id' AS rule, regexp_extract_all(text, '{V.LABELLED_ID}', 1) AS found FROM documents
-  UNION ALL SELECT doc_id, text, 'phone', list_filter(regexp_extract_all(text, '{V.PHONE}', 1), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
+  UNION ALL SELECT doc_id, text, 'phone', list_filter(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: len(d) BETWEEN 10 AND 13), lambda d: right(d, 10)), lambda x: NOT (len(list_distinct(string_split(x, ''))) <= 2 OR x IN ('0123456789', '9876543210'))) FROM documents
   UNION ALL SELECT doc_id, text, 'e-mail', list_filter(regexp_extract_all(text, '{V.E_MAIL}', 1), lambda x: NOT contains(x, '@example.')) FROM documents
   UNION ALL SELECT doc_id, text, 'birth-date', regexp_extract_all(text, '{V.BIRTH_DATE}', 1) FROM documents)
 SELECT doc_id, rule, len(found)::BIGINT AS n, (length(p) - length(replace(p, chr(10), '')) + 1)::BIGINT AS first_line
@@ -380,6 +358,52 @@ def label_match(spark, sf_dir):
     return L.match_labels(labels, spark.createDataFrame(ALIASES, "alias_norm string, key string"), fuzzy=False)
 
 
-@query()
+@query(ROLE_SQL + """,
+counts AS (SELECT patient_id, analyte, min(seq) AS first, count(*) AS n FROM obs GROUP BY ALL),
+lined AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY first) AS nth FROM counts),
+walked AS (
+  SELECT patient_id, analyte, nth, n, 0 AS sheet, n AS held FROM lined WHERE nth = 1
+  UNION ALL SELECT l.patient_id, l.analyte, l.nth, l.n, CASE WHEN held >= 22 THEN sheet + 1 ELSE sheet END, CASE WHEN held >= 22 THEN l.n ELSE held + l.n END
+  FROM walked w JOIN lined l ON l.patient_id = w.patient_id AND l.nth = w.nth + 1)
+SELECT patient_id, sheet::BIGINT AS sheet, sum(n)::BIGINT AS n, count(*) AS analytes, min(seq) AS first_seq FROM walked JOIN (SELECT patient_id, analyte, min(seq) AS seq FROM obs GROUP BY ALL) USING (patient_id, analyte) GROUP BY ALL""")
 def contact_sheets(spark, sf_dir):
-    return L.batches(observations(spark, sf_dir).select("seq", "analyte")).groupBy("sheet").agg(F.count("*").alias("n"), F.count_distinct("analyte").alias("analytes"))
+    """Sheets of each patient: items, analytes, and the first item of each."""
+    items = measured_roles(spark, sf_dir).select("patient_id", "seq", "analyte")
+    return L.batches(items, by=("patient_id",)).groupBy("patient_id", "sheet").agg(F.count("*").alias("n"), F.count_distinct("analyte").alias("analytes"), F.min("seq").alias("first_seq"))
+
+
+@query(f"""
+WITH bands AS (
+  SELECT o_orderkey, 'Sample .No: LAB' || lpad(o_custkey::VARCHAR, 7, '0') || 'A ' AS s, 'Colection Date ' || strftime(o_orderdate, '%d/%m/%Y %H:%M') || ' ~ ' AS c, 'ACKD  Date: ' || strftime(o_orderdate, '%d-%m-%Y 09:30') || ' ' AS a, 'Report Date ' || o_orderpriority AS r FROM orders),
+texts AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN s || c || a || r WHEN 1 THEN c || s || r WHEN 2 THEN 'x ' || r || ' ' || a || s ELSE 'no labels ' || o_orderkey END AS t FROM bands),
+places AS (
+  SELECT o_orderkey, t, k, strpos(t, m) AS start, len(m) AS size FROM (
+    SELECT o_orderkey, t, unnest({list(V.BAND_LABELS)!r}) AS k, unnest([{", ".join("regexp_extract(t, '" + p + "')" for p in V.BAND_LABELS.values())}]) AS m FROM texts) WHERE m <> ''),
+cuts AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY o_orderkey ORDER BY start), len(t) + 1) AS stop FROM places)
+SELECT o_orderkey, nullif(regexp_extract(any_value(t), '{V.SAMPLE_NO}', 1), '') AS sample_no, {", ".join(f"max(substr(t, start + size, stop - start - size)) FILTER (k = '{k}') AS {k}_text" for k in V.BAND_LABELS)}
+FROM texts LEFT JOIN (SELECT o_orderkey, k, start, size, stop FROM cuts) USING (o_orderkey) GROUP BY o_orderkey""")
+def band_fields(spark, sf_dir):
+    """Headings cut at their labels, in whatever order and with whichever missing, and the sample's number."""
+    o = read(spark, sf_dir, "orders")
+    s, at = F.concat(F.lit("Sample .No: LAB"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("A ")), F.col("o_orderdate")
+    c, a, r = F.concat(F.lit("Colection Date "), F.date_format(at, "dd/MM/yyyy HH:mm"), F.lit(" ~ ")), F.concat(F.lit("ACKD  Date: "), F.date_format(at, "dd-MM-yyyy"), F.lit(" 09:30 ")), F.concat(F.lit("Report Date "), "o_orderpriority")
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(s, c, a, r)).when(k == 1, F.concat(c, s, r)).when(k == 2, F.concat(F.lit("x "), r, F.lit(" "), a, s)).otherwise(F.concat(F.lit("no labels "), F.col("o_orderkey").cast("string")))
+    b = o.select("o_orderkey", text.alias("t")).withColumn("m", L.band_segments(F.col("t")))
+    return b.select("o_orderkey", L.sample_no(F.col("t")).alias("sample_no"), *[F.try_element_at("m", F.lit(x)).alias(f"{x}_text") for x in V.BAND_LABELS])
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS patient_id, o_orderkey AS seq, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS date, o_orderkey % 10 = 0 AS human_verified FROM orders),
+m AS (SELECT patient_id, date_trunc('month', date) AS month, count(*) AS n, min(seq) AS s FROM s WHERE date IS NOT NULL GROUP BY ALL),
+t AS (SELECT patient_id, arg_max(month, (n, -s)) AS month FROM m GROUP BY patient_id),
+d AS (SELECT DISTINCT s.patient_id, date FROM s JOIN t ON s.patient_id = t.patient_id AND date_trunc('month', date) = month),
+c AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY patient_id) AS many, CASE WHEN date_diff('day', lag(date) OVER w, date) > 2 THEN 1 ELSE 0 END AS cut FROM d WINDOW w AS (PARTITION BY patient_id ORDER BY date)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY patient_id ORDER BY date) AS island FROM c),
+w AS (SELECT i.patient_id, min(date) AS a, max(date) AS z FROM i JOIN (SELECT patient_id, island FROM i WHERE place = many // 2) mid USING (patient_id, island) GROUP BY i.patient_id),
+j AS (SELECT s.*, NOT human_verified AND coalesce(date < a OR date > z, false) AS date_suspect FROM s LEFT JOIN w USING (patient_id))
+SELECT patient_id, seq, CASE WHEN NOT date_suspect THEN date END AS date, human_verified, date_suspect FROM j""")
+def dates_within_window(spark, sf_dir):
+    """Dates outside of the patient's days, gone and marked unless a person read them."""
+    s = samples(spark, sf_dir).withColumns({"date": F.when(F.col("seq") % 7 != 0, F.col("date")), "human_verified": F.col("seq") % 10 == 0})
+    return L.within_window(s)

@@ -139,6 +139,21 @@ def dedupe_by_support(spark, sf_dir):
     return Q.dedupe_by_support(observations(spark, sf_dir), ["patient_id", "analyte", "day"])
 
 
+@query(OBS_SQL + f""",
+s AS (SELECT *, list_filter([a, b, c], lambda x: x IS NOT NULL) AS r FROM obs),
+rows AS (
+  SELECT patient_id, analyte, day, list({{'seq': seq, 'value': value, 'agree': len(list_distinct(r)) = 1 AND len(r) > 1, 'n': len(r), 'fine': ({FLAG}) <> 'fail', 'conflicts': []::STRUCT(seq BIGINT, value DOUBLE)[]}} ORDER BY seq) AS l FROM s GROUP BY ALL),
+folded AS (
+  SELECT patient_id, analyte, day, list_reduce(l, lambda x, y: CASE WHEN (y.agree, y.n, y.fine) > (x.agree, x.n, x.fine)
+    THEN {{'seq': y.seq, 'value': y.value, 'agree': y.agree, 'n': y.n, 'fine': y.fine AND x.value = y.value, 'conflicts': CASE WHEN x.value <> y.value THEN [{{'seq': x.seq, 'value': x.value}}] ELSE [] END}}
+    ELSE {{'seq': x.seq, 'value': x.value, 'agree': x.agree, 'n': x.n, 'fine': x.fine AND x.value = y.value, 'conflicts': list_concat(x.conflicts, CASE WHEN x.value <> y.value THEN [{{'seq': y.seq, 'value': y.value}}] ELSE [] END)}} END) AS w FROM rows)
+SELECT patient_id, analyte, day, w.seq AS seq, w.value AS value, NOT w.fine AS needs_review, array_to_string(list_transform(w.conflicts, lambda c: c.seq || ':' || c.value), ';') AS conflicts FROM folded""")
+def dedupe_conflicts(spark, sf_dir):
+    """The reading of each day that stays, whether it is under review, and those that it met with other values."""
+    d = Q.dedupe_conflicts(observations(spark, sf_dir), ["patient_id", "analyte", "day"])
+    return d.withColumn("conflicts", F.array_join(F.transform("conflicts", lambda c: F.concat(c["seq"].cast("string"), F.lit(":"), c["value"].cast("string"))), ";"))
+
+
 @query(OBS_SQL + "SELECT analyte, arg_min({'low': low, 'high': high}, seq).low AS low, arg_min({'low': low, 'high': high}, seq).high AS high FROM obs WHERE low IS NOT NULL OR high IS NOT NULL GROUP BY analyte")
 def consensus_range(spark, sf_dir):
     return Q.consensus_range(observations(spark, sf_dir))

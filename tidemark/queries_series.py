@@ -176,13 +176,6 @@ def discordance(spark, sf_dir):
     return S.discordance(S.trends(points(spark, sf_dir)), "A", "B")
 
 
-@query(MOVES_SQL + """
-SELECT 'rise' AS rule, CASE WHEN last_value > high THEN 'high' ELSE 'moderate' END AS severity, patient_id, analyte, last_value FROM moves WHERE analyte = 'view' AND dir > 0
-UNION ALL SELECT 'low', 'high', patient_id, analyte, last_value FROM moves WHERE analyte = 'error' AND last_value < low""")
-def trend_alarms(spark, sf_dir):
-    return S.trend_alarms(S.trends(points(spark, sf_dir)), "view", "error")
-
-
 @query(carry_sql(2) + "SELECT *, day - from_day AS days_old FROM carried WHERE value IS NOT NULL")
 def carry_forward_bounded(spark, sf_dir):
     return S.carried(points(spark, sf_dir))
@@ -288,22 +281,9 @@ def compare_days(spark, sf_dir):
     return V.compare_days(points(spark, sf_dir), 5, 20)
 
 
-DAYS = list(range(1, 32))
-
-
-@query(POINTS_SQL + "SELECT patient_id, analyte, " + ", ".join(f"max(value) FILTER (day = {d}) AS d{d}" for d in DAYS) + " FROM points GROUP BY ALL")
-def matrix_pivot(spark, sf_dir):
-    return V.pivot_days(points(spark, sf_dir), DAYS)
-
-
 HEAT = "least(coalesce(CASE WHEN high <> 0 AND value > high THEN value / high END, CASE WHEN low <> 0 AND value < low AND value > 0 THEN low / value END, 1.0), 20.0)"
 
 
-@query(POINTS_SQL + f", h AS (SELECT *, ({HEAT})::DECIMAL(18,2)::DOUBLE AS fold FROM points) SELECT patient_id, analyte, " + ", ".join(f"max(fold) FILTER (day = {d}) AS d{d}" for d in DAYS) + " FROM h GROUP BY ALL")
-def heatmap_fold(spark, sf_dir):
-    return V.heatmap(points(spark, sf_dir), DAYS)
-
-
 @query(POINTS_SQL + "SELECT patient_id, analyte, day, value FROM points")
 def matrix_days(spark, sf_dir):
     """The matrix by rows of day and value, for tables of any number of days."""
@@ -345,28 +325,6 @@ def flowsheet(spark, sf_dir):
     return V.flowsheet(observations(spark, sf_dir))
 
 
-@query(CROSS_SQL + "SELECT severity, rule, count(*) AS n, count(DISTINCT patient_id) AS patients, array_to_string(list_sort(list(DISTINCT analyte)), ',') AS analytes FROM found GROUP BY ALL")
-def group_findings(spark, sf_dir):
-    return V.grouped_findings(V.findings(points(spark, sf_dir)))
-
-
-@query(CROSS_SQL + "SELECT severity, count(*) AS n FROM found GROUP BY ALL")
-def severity_counts(spark, sf_dir):
-    return V.findings(points(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
-
-
-@query(CROSS_SQL + f"""SELECT row_number() OVER (ORDER BY {RANK_SQL}, rule, analyte, patient_id, from_day)::INT AS place, severity, rule, patient_id, analyte, from_day, to_day
-FROM found ORDER BY place LIMIT 200""")
-def findings_ranked(spark, sf_dir):
-    return V.ranked(V.findings(points(spark, sf_dir)), 200)
-
-
-@query(CROSS_SQL + f"""SELECT * FROM (SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY {RANK_SQL}, from_day, rule, analyte)::INT AS place, severity, rule, analyte, from_day
-FROM found WHERE {RANK_SQL} <= 3) WHERE place <= 18""")
-def findings_timeline(spark, sf_dir):
-    return V.timeline(V.findings(points(spark, sf_dir)))
-
-
 @query(CROSS_SQL + """,
 jumps AS (SELECT *, value - p_value AS delta, abs(value - p_value) / coalesce(nullif(abs(p_value), 0), 1) AS rel, coalesce(abs(value - p_value) > high - low, false) AS wide FROM dirs WHERE day - p_day = 1),
 kept AS (SELECT * FROM jumps j WHERE (rel > 0.5 OR wide) AND NOT EXISTS (
@@ -411,7 +369,7 @@ everything AS (
   UNION ALL SELECT 'delta-24h', CASE WHEN sign(delta) = valence AND rel > 0.5 AND wide THEN 'high' WHEN sign(delta) = valence THEN 'moderate' ELSE 'info' END, patient_id, analyte, p_day, day FROM best WHERE rn = 1
   UNION ALL SELECT 'critical-flag', CASE WHEN latest > flagged THEN 'high' ELSE 'critical' END, patient_id, analyte, flagged, latest FROM flags WHERE flagged IS NOT NULL
   UNION ALL SELECT 'meld-escalation', 'high', patient_id, NULL, p_day, day FROM risen WHERE rn = 1
-  UNION ALL SELECT 'synthetic-failure', 'critical', patient_id, NULL, a_from, a_to FROM g WHERE failing = 2
+  UNION ALL SELECT 'synthetic-failure', 'high', patient_id, NULL, a_from, a_to FROM g WHERE failing = 2
   UNION ALL SELECT 'renal-cluster', 'high', patient_id, NULL, b_from, b_to FROM g WHERE renal = 2
   UNION ALL SELECT CASE WHEN up >= 3 THEN 'infection-cluster' ELSE 'infection-improving' END, CASE WHEN up >= 4 THEN 'high' WHEN up >= 3 THEN 'moderate' ELSE 'info' END, patient_id, NULL, moved_from, moved_to
     FROM g WHERE measured >= 3 AND (up >= 3 OR (down >= 3 AND up = 0))
@@ -451,6 +409,21 @@ def all_findings_timeline(spark, sf_dir):
     return V.timeline(everything(spark, sf_dir))
 
 
+@query(ALL_SQL + "SELECT * FROM everything WHERE rule IN ('perfusion', 'low-oxygen')")
+def trend_alarms(spark, sf_dir):
+    """A marker that rises in the last days, and one whose last value, of however old a day, is below its range."""
+    p = points(spark, sf_dir)
+    return R.perfusion(S.trends(p), "view").unionByName(R.low_oxygen(p, "error"))
+
+
+@query(ALL_SQL + """, heard AS (SELECT *, rule = 'discordance' OR rule IN ('rising-run', 'falling-run', 'delta-24h') AND analyte = 'purchase' AS doctor_only FROM everything)
+SELECT rule, count(*) AS n FROM heard WHERE NOT doctor_only GROUP BY rule""")
+def findings_for_family(spark, sf_dir):
+    """Findings by rule that are for the family, too."""
+    way = F.when(F.col("analyte") != "purchase", 1)
+    return R.for_audience(everything(spark, sf_dir), "family", way).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query(OBS_SQL + "SELECT patient_id, analyte, seq, day, value FROM obs WHERE day IN (1, 2, 3, 4, 5) AND analyte IN ('view', 'click', 'error') AND system IN ('A') AND interpretation <> 'N' AND contains(lower(analyte), 'ie')")
 def interactive_filter(spark, sf_dir):
     o = observations(spark, sf_dir)

@@ -16,6 +16,8 @@ from .tables import FIRST_DAY, read
 
 TYPES = "view click signup error purchase".split()
 USERS = 8
+#: Events on one page.
+PAGE = 40
 #: Analyte, display name, unit, range, system, and the scale on which an event's value is the analyte's: ``base + value / part``.
 ROLES = [
     ("bilirubin_total", "Total bilirubin", "mg/dL", 0.2, 1.2, "liver", 0.0, 20.0),
@@ -57,7 +59,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = (F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("event_type")) - 1) * 4 + k % 4
     of = lambda i, kind: F.get(F.array(*[F.lit(r[i]).cast(kind) for r in ROLES]), place.cast("int"))
     day = (F.datediff(F.to_date("ts"), F.to_date(F.lit(FIRST_DAY))) + 1).cast("int")
-    o = e.select(F.floor(F.col("user_id") / USERS).cast("long").alias("patient_id"), of(0, "string").alias("analyte"), F.col("ts").alias("collected"), day.alias("day"), F.col("event_id").alias("seq"), (of(6, "double") + F.col("value") / of(7, "double")).alias("value"), k.alias("k"))
+    o = e.select(F.floor(F.col("user_id") / USERS).cast("long").alias("patient_id"), of(0, "string").alias("analyte"), F.col("ts").alias("collected"), day.alias("day"), F.col("event_id").alias("seq"), (of(6, "double") + F.col("value") / of(7, "double")).alias("value"), k.alias("k"), F.floor(F.col("event_id") / PAGE).cast("long").alias("page"))
     o = D.described(o, D.as_of(dictionary(spark)), ["display", "unit", "low", "high", "valence", "system"])
     v, i = F.col("value"), F.col("interpretation")
     o = o.withColumn("interpretation", interpret(v, F.col("low"), F.col("high")))
@@ -75,10 +77,10 @@ WITH RECURSIVE roles AS (
   SELECT * FROM (VALUES {", ".join("(" + ", ".join(literal(x) for x in (k, *r, valence(r[0]))) + ")" for k, r in enumerate(ROLES))})
     t(place, analyte, display, unit, low, high, system, base, part, valence)),
 raw AS (
-  SELECT user_id // {USERS} AS patient_id, ts AS collected, event_id AS seq, value AS v, (date_diff('day', DATE '{FIRST_DAY}', ts::DATE) + 1)::INT AS day,
+  SELECT user_id // {USERS} AS patient_id, ts AS collected, event_id AS seq, event_id // {PAGE} AS page, value AS v, (date_diff('day', DATE '{FIRST_DAY}', ts::DATE) + 1)::INT AS day,
          regexp_extract(props, '([0-9]+)', 1)::INT AS k, list_position({TYPES!r}, event_type) - 1 AS t FROM events),
 valued AS (
-  SELECT patient_id, collected, seq, day, k, analyte, display, unit, low::DOUBLE AS low, high::DOUBLE AS high, valence, system, base::DOUBLE + v / part::DOUBLE AS value
+  SELECT patient_id, collected, seq, page, day, k, analyte, display, unit, low::DOUBLE AS low, high::DOUBLE AS high, valence, system, base::DOUBLE + v / part::DOUBLE AS value
   FROM raw JOIN roles ON place = t * 4 + k % 4),
 obs AS (
   SELECT *, CASE WHEN low IS NULL AND high IS NULL THEN NULL WHEN value > high THEN 'H' WHEN value < low THEN 'L' ELSE 'N' END AS interpretation,
