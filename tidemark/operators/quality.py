@@ -153,6 +153,57 @@ def gated(obs: DataFrame) -> DataFrame:
     return g.withColumns({"needs_review": F.exists(F.map_values("gates"), lambda s: s.isin("weak", "fail")), "interpretation": F.coalesce(crit, F.col("interpretation")), "critical": crit.isNotNull()})
 
 
+def detailed(state: Column, detail: Column) -> Column:
+    return F.struct(state.alias("state"), detail.alias("detail"))
+
+
+def ensemble_verdict() -> Column:
+    """The ensemble gate with what the passes read."""
+    r = readings()
+    n, d = F.size(r), F.array_sort(F.array_distinct(r))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(d, lambda v: v.cast("string")), ", "), F.lit("]"))
+    most = majority(*[F.col(x) for x in READINGS])
+    text = F.when(n == 0, "no pass produced a value").when(F.size(d) == 1, F.when(n >= 2, "unanimous").otherwise("single pass only"))
+    text = text.when(most.isNotNull() & (n == 3), F.concat(F.lit("majority "), most.cast("string"), F.lit(" of "), listed)).otherwise(F.concat(F.lit("no majority among "), listed))
+    return detailed(ensemble_gate(), text)
+
+
+def flag_verdict() -> Column:
+    """The flag gate with what the page says and what the value reads."""
+    i = interpret(F.col("value"), F.col("low"), F.col("high"))
+    flag = F.col("printed_flag")
+    text = F.when(F.col("value").isNull(), "no value").when(i.isNull(), "no usable reference range")
+    text = text.when(flag.isNull() & (i == "N"), "no flag, value in range").when(flag.isNull(), F.concat(F.lit("no flag printed but value reads "), i))
+    text = text.when(flag_gate() == "pass", F.concat(F.lit("flag "), flag, F.lit(" agrees"))).otherwise(F.concat(F.lit("page says "), flag, F.lit(" but value "), F.col("value").cast("string"), F.lit(" reads "), i))
+    return detailed(flag_gate(), text)
+
+
+def envelope_verdict(low: float = ENVELOPE[0], high: float = ENVELOPE[1]) -> Column:
+    state = envelope_gate(low, high)
+    return detailed(state, F.when(state == "skip", "no value").otherwise(F.concat(F.col("value").cast("string"), F.when(state == "pass", " is").otherwise(" isn't"), F.lit(f" within {low} to {high}"))))
+
+
+def with_provenance(obs: DataFrame, samples: DataFrame, by: list[str], identities: list[Identity] = IDENTITIES) -> DataFrame:
+    """Observations with ``interpretation``, ``critical``, ``needs_review`` and ``provenance``.
+
+    ``provenance`` is a struct of ``page, ocr, gates, human_verified``, where ``ocr`` maps passes to readings and ``gates`` maps
+    each gate that applies to its state and detail: ensemble, flag_consistency and envelope to every row, arithmetic and differential to
+    rows whose sample (``by``) gives them a verdict on the analyte.  ``samples`` has ``by, analyte, value``, one row each.
+    """
+    sums = identity_gate(samples, by, identities).select(*by, "analyte", detailed(F.col("state"), F.concat(F.when(F.col("state") == "pass", "agrees with ").otherwise("breaks "), "identity")).alias("tm_sum"))
+    shares = differential_gate(samples, by).select(*by, "analyte", detailed(F.col("state"), F.when(F.col("state") == "pass", "shares add up").otherwise("shares don't add up")).alias("tm_share"))
+    verdicts = sums.join(shares, [*by, "analyte"], "full")
+    o = obs.join(verdicts, [*by, "analyte"], "left")
+    own = {"ensemble": ensemble_verdict(), "flag_consistency": flag_verdict(), "envelope": envelope_verdict(), "arithmetic": F.col("tm_sum"), "differential": F.col("tm_share")}
+    gates = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("verdict")) for k, v in own.items()]), lambda e: e["verdict"].isNotNull()))
+    ocr = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(r.upper()).alias("pass"), F.col(r).alias("value")) for r in READINGS]), lambda e: e["value"].isNotNull()))
+    crit = F.when(F.col("printed_flag") == "CH", "HH").when(F.col("printed_flag") == "CL", "LL")
+    verified = F.coalesce(F.col("human_verified"), F.lit(False))
+    o = o.withColumn("provenance", F.struct(F.col("page"), ocr.alias("ocr"), gates.alias("gates"), verified.alias("human_verified")))
+    review = F.exists(F.map_values("provenance.gates"), lambda g: g["state"].isin("weak", "fail"))
+    return o.withColumns({"interpretation": F.coalesce(crit, interpret(F.col("value"), F.col("low"), F.col("high"))), "critical": crit.isNotNull(), "needs_review": review}).drop("tm_sum", "tm_share")
+
+
 def agreement(obs: DataFrame) -> DataFrame:
     """Counts of unanimous, single, majority and conflicting readings, zero counts included."""
     r = readings()

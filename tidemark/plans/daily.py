@@ -74,3 +74,10 @@ def daily_scores(obs: DataFrame, carried: list[str] = CARRIED, most: int = CARRY
         "maddrey": named(C.maddrey(v("pt"), v("pt_mnpt"), b), INPUTS),
     }
     return d.select("patient_id", "day", "collected", "carried_forward", *[c.alias(n) for n, c in made.items()])
+
+
+def formula_cards(scores: DataFrame) -> DataFrame:
+    """What each score is made of beside what it says on each patient's latest day: value, or what was missing, and notes."""
+    last = scores.groupBy("patient_id").agg(F.max_by(F.struct("day", *SCORES), "day").alias("s"))
+    cards = [F.struct(F.lit(n).alias("name"), F.lit(inputs).alias("inputs"), F.lit(scale).alias("scale"), *[F.col(f"s.{n}.{f}").alias(f) for f in ("complete", "value", "missing", "notes")]) for n, inputs, scale in C.FORMULAS]
+    return last.select("patient_id", F.col("s.day").alias("day"), F.inline(F.array(*cards)))

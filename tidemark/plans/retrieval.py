@@ -39,6 +39,11 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     found = t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     # Counted with tf and dl, so that both uses of the postings have the same columns and share one exchange.
     df = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    return weigh(found, df, sizes, queries)
+
+
+def weigh(found: DataFrame, df: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 ``qid, id, score`` from postings ``id, term, tf, dl``, ``term, df`` and the one row ``n, avgdl``, for queries ``qid, term, weight``."""
     scored = found.join(queries, "term").join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -139,15 +144,15 @@ def prompt(question: str, hits: list[tuple[str, str]]) -> list[dict]:
     return [{"role": "system", "content": "Answer from the numbered sources only and name them. Say so if they don't tell."}, {"role": "user", "content": f"Sources:\n{sources}\n\nQuestion: {question}"}]
 
 
-def ask(questions: DataFrame, chunks: DataFrame, entries: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
+def ask(questions: DataFrame, score: Callable[[DataFrame], DataFrame], entries: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """The best chunks for each question of ``qid, text``, as ``qid, id, score, place``.
 
-    Words are expanded by the dictionary's ``entries``.  Chunks of the days that a question names, by number
+    ``score`` gives ``qid, id, score`` for terms ``qid, term, weight``: :func:`bm25_scores` over chunks, or an index's.  Words are expanded by the dictionary's ``entries``.  Chunks of the days that a question names, by number
     or by date, are raised, also those without any of its words; ``chunk_days`` is ``id, kind, day, date``.
     """
     q = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     q = q.withColumn("weight", F.lit(1.0)) if entries is None else expand(q, entries)
-    hits = bm25_scores(chunks, q)
+    hits = score(q)
     if chunk_days is not None:
         number = questions.select("qid", F.explode(mentioned_days(F.col("text"))).alias("day"))
         named = questions.select("qid", F.explode(mentioned_dates(F.col("text"))).alias("at"))
@@ -159,7 +164,7 @@ def ask(questions: DataFrame, chunks: DataFrame, entries: DataFrame | None = Non
 
 def search(question: str, chunks: DataFrame, entries: DataFrame | None = None, chunk_days: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """The best chunks for one question, as :func:`ask` finds them."""
-    return ask(chunks.sparkSession.createDataFrame([(1, question)], "qid int, text string"), chunks, entries, chunk_days, top)
+    return ask(chunks.sparkSession.createDataFrame([(1, question)], "qid int, text string"), lambda q: bm25_scores(chunks, q), entries, chunk_days, top)
 
 
 def answer(question: str, chunks: DataFrame, chat: Callable[[list[dict]], str], top: int = TOP, entries: DataFrame | None = None, chunk_days: DataFrame | None = None) -> dict:

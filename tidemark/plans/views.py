@@ -40,6 +40,19 @@ def system_state(points: DataFrame) -> DataFrame:
     return b.groupBy("patient_id", "system").agg(F.min_by("mean_fold", "day").alias("first_fold"), F.max_by("mean_fold", "day").alias("last_fold"), F.max("day").alias("last_day"))
 
 
+def systems_by_fold(points: DataFrame) -> DataFrame:
+    """Systems of each patient in order of their latest burden, the largest first; of equal ones by name."""
+    w = Window.partitionBy("patient_id").orderBy(F.col("last_fold").desc(), "system")
+    return system_state(points).select("patient_id", "system", "first_fold", "last_fold", F.row_number().over(w).alias("place"))
+
+
+def directional_movers(points: DataFrame, top: int = 10) -> DataFrame:
+    """The analytes of each patient that got worse or better by most, by percent; of equal ones by name."""
+    w = Window.partitionBy("patient_id").orderBy(F.abs("pct").desc(), "analyte")
+    m = movement(points).filter(F.col("direction").isin("worse", "better")).withColumn("place", F.row_number().over(w))
+    return m.filter(F.col("place") <= top).select("patient_id", "analyte", fixed(F.col("pct")).alias("pct"), "direction", "place")
+
+
 def couples(points: DataFrame, pairs: list[tuple[str, str]], least: int = 3) -> DataFrame:
     """Pairs of analytes on shared days, per patient with at least ``least`` of them.
 

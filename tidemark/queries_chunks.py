@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from .fixed_values import EVERYDAY, EVERYDAY_TERMS, STOP_WORDS
 from .plans import chunks as C
 from .plans import daily, findings
+from .plans import index as I
 from .plans import retrieval as R
 from .queries_findings import SCORE_SQL, WORD_SQL, bounds, found, g
 from .sources.dictionary import as_of
 from .sources.roles import dictionary, observations
+from .sources.shared import new_path, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -167,13 +169,14 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 
 @query(ASK_SQL)
 def questions_asked(spark, sf_dir):
-    """The best texts of all patients for whole questions: words, what they stand for, and the days they name."""
+    """The best texts of all patients for whole questions, by an index: words, what they stand for, and the days they name."""
     entries = as_of(dictionary(spark))
     c = C.value_chunks(measured(spark, sf_dir), entries).unionByName(patterns(spark, sf_dir))
-    c = c.withColumn("id", F.concat_ws("/", F.col("patient_id").cast("string"), "id"))
+    c = written(c.select(F.concat_ws("/", F.col("patient_id").cast("string"), "id").alias("id"), "kind", "text", "days", "dates"), "chunks")
+    index = I.write(c.select("id", "text"), new_path(spark, "chunk-index"))
     by_number = c.select("id", "kind", F.explode("days").alias("day"), F.lit(None).cast("date").alias("date"))
     by_date = c.select("id", "kind", F.lit(None).cast("int").alias("day"), F.explode("dates").alias("date"))
-    return R.ask(spark.createDataFrame(QUESTIONS, "qid int, text string"), c.select("id", "text"), entries, by_number.unionByName(by_date))
+    return R.ask(spark.createDataFrame(QUESTIONS, "qid int, text string"), lambda q: I.scores(index, q), entries, by_number.unionByName(by_date))
 
 
 @query(ASK_SQL[: ASK_SQL.index("tokened AS (")].rstrip().rstrip(",") + " SELECT qid, term, weight FROM terms")

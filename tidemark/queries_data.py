@@ -9,7 +9,6 @@ from .functions import exprs as X
 from .plans import checks as K
 from .plans import layout as L
 from .plans import retrieval as R
-from .plans import scores as C
 from .sources.roles import ROLE_SQL
 from .sources.roles import observations as measured_roles
 from .sources.tables import OBS_SQL, observations, read
@@ -225,11 +224,6 @@ def doc_claims(spark, sf_dir):
     return K.claims(texts, facts, "c_custkey", [("F", r"level F was ([0-9]+\.[0-9]+)")]).select("c_custkey", "name", "said")
 
 
-@query("""SELECT name, inputs, scale, len(string_split(inputs, ', '))::BIGINT AS n_inputs FROM (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in C.FORMULAS) + ") t(name, inputs, scale)")
-def formula_cards(spark, sf_dir):
-    return spark.createDataFrame(C.FORMULAS, "name string, inputs string, scale string").withColumn("n_inputs", F.size(F.split("inputs", ", ")).cast("long"))
-
-
 # --- layout: pages of words made from events ---------------------------------------------
 
 def page_words(spark, sf_dir):

@@ -10,6 +10,7 @@ from .functions.words import PLURAL
 from .operators import series as S
 from .plans import daily as C
 from .plans import findings as W
+from .plans.scores import FORMULAS
 from .sources.dictionary import as_of
 from .sources.roles import ROLE_SQL, dictionary, observations
 
@@ -85,6 +86,26 @@ def daily_scores(spark, sf_dir):
     return d.select(*out, F.array_join(F.array_sort(old), "; ").alias("carried"))
 
 
+CARD_LACKS = {
+    "meld3": lacks("bilirubin_total", "inr", "creatinine", "sodium", "albumin"),
+    "meld_na": lacks("bilirubin_total", "inr", "creatinine", "sodium"),
+    "child_pugh": f"""concat_ws(',', nullif({lacks("bilirubin_total", "albumin", "inr")}, ''), 'ascites_grade', 'encephalopathy_grade')""",
+    "aarc": f"""concat_ws(',', nullif({lacks("bilirubin_total", "creatinine", "inr", "lactate")}, ''), 'encephalopathy_grade')""",
+    "nlr": lacks("anc", "alc"),
+    "anion_gap": lacks("abg_sodium", "abg_chloride", "abg_hco3"),
+    "maddrey": lacks("pt", "pt_mnpt", "bilirubin_total"),
+}
+
+
+@query(SCORE_SQL + ", latest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY day DESC) = 1) " + " UNION ALL ".join(
+    f"SELECT patient_id, day, '{n}' AS name, '{inputs}' AS inputs, '{scale}' AS scale, {'false' if n in ('child_pugh', 'aarc') else f'{n} IS NOT NULL'} AS complete, {'NULL::DOUBLE' if n in ('child_pugh', 'aarc') else n} AS value, {CARD_LACKS[n]} AS missing, '{C.LACTATE_NOTE if n == 'aarc' else ''}' AS notes FROM latest"
+    for n, inputs, scale in FORMULAS))
+def formula_cards(spark, sf_dir):
+    """Each score's inputs and scale beside each patient's latest value, or what was missing for it."""
+    c = C.formula_cards(C.daily_scores(observations(spark, sf_dir)))
+    return c.withColumns({"missing": F.array_join("missing", ","), "notes": F.array_join("notes", ",")})
+
+
 # --- findings in words --------------------------------------------------------------------------
 
 def g(x: str) -> str:

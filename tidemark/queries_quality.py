@@ -98,6 +98,42 @@ def gated_observations(spark, sf_dir):
     return Q.gated(observations(spark, sf_dir)).select("patient_id", "analyte", "seq", "needs_review", "interpretation", "critical")
 
 
+LISTED = "'[' || array_to_string(list_sort(list_distinct(r)), ', ') || ']'"
+PROVENANCE = ORACLE["arithmetic_gate"].replace("SELECT patient_id, day, analyte, CASE WHEN ok", ", identity_found AS (SELECT patient_id, day, analyte, CASE WHEN ok", 1) + """),
+shares AS (SELECT *, sum(value) OVER w AS total, count(value) OVER w AS n_shares FROM points WINDOW w AS (PARTITION BY patient_id, day)),
+share_found AS (SELECT patient_id, day, CASE analyte WHEN 'view' THEN 'pcv' WHEN 'click' THEN 'rbc' WHEN 'signup' THEN 'mcv' WHEN 'error' THEN 'hb' ELSE 'mch' END AS analyte, CASE WHEN total BETWEEN 97 AND 103 THEN 'pass' ELSE 'fail' END AS state FROM shares WHERE n_shares >= 4),
+named AS (
+  SELECT o.* REPLACE (CASE analyte WHEN 'view' THEN 'pcv' WHEN 'click' THEN 'rbc' WHEN 'signup' THEN 'mcv' WHEN 'error' THEN 'hb' ELSE 'mch' END AS analyte), list_filter([a, b, c], lambda x: x IS NOT NULL) AS r,
+         CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b END AS m FROM obs o),
+gated AS (
+  SELECT n.*, """ + f"({ENSEMBLE}) AS s1, ({FLAG}) AS s2, ({ENVELOPE}) AS s3, " + """i.state AS s4, identity, f.state AS s5 FROM named n LEFT JOIN identity_found i USING (patient_id, day, analyte) LEFT JOIN share_found f USING (patient_id, day, analyte)),
+told AS (
+  SELECT *, CASE WHEN len(r) = 0 THEN 'no pass produced a value' WHEN len(list_distinct(r)) = 1 THEN CASE WHEN len(r) >= 2 THEN 'unanimous' ELSE 'single pass only' END
+                 WHEN m IS NOT NULL AND len(r) = 3 THEN 'majority ' || m || ' of ' || """ + LISTED + " ELSE 'no majority among ' || " + LISTED + """ END AS d1,
+         CASE WHEN value IS NULL THEN 'no value' WHEN interpretation IS NULL THEN 'no usable reference range' WHEN printed_flag IS NULL THEN CASE WHEN interpretation = 'N' THEN 'no flag, value in range' ELSE 'no flag printed but value reads ' || interpretation END
+              WHEN s2 = 'pass' THEN 'flag ' || printed_flag || ' agrees' ELSE 'page says ' || printed_flag || ' but value ' || value || ' reads ' || interpretation END AS d2,
+         CASE s3 WHEN 'skip' THEN 'no value' WHEN 'pass' THEN value || ' is within 0.0 to 300.0' ELSE value || ' isn''t within 0.0 to 300.0' END AS d3 FROM gated)
+SELECT patient_id, analyte, seq, CASE printed_flag WHEN 'CH' THEN 'HH' WHEN 'CL' THEN 'LL' ELSE interpretation END AS interpretation, coalesce(printed_flag IN ('CH', 'CL'), false) AS critical,
+       s1 IN ('weak', 'fail') OR s2 IN ('weak', 'fail') OR s3 IN ('weak', 'fail') OR coalesce(s4 = 'fail', false) OR coalesce(s5 = 'fail', false) AS needs_review,
+       'arithmetic ' || s4 || ': ' || CASE s4 WHEN 'pass' THEN 'agrees with ' ELSE 'breaks ' END || identity AS arithmetic, 'differential ' || s5 || ': ' || CASE s5 WHEN 'pass' THEN 'shares add up' ELSE 'shares don''t add up' END AS differential,
+       'ensemble ' || s1 || ': ' || d1 AS ensemble, 'envelope ' || s3 || ': ' || d3 AS envelope, 'flag_consistency ' || s2 || ': ' || d2 AS flag_consistency,
+       seq // 40 AS page, k % 3 = 0 AS human_verified, concat_ws(' ', 'A=' || a, 'B=' || b, 'C=' || c) AS ocr FROM told"""
+
+
+@query(PROVENANCE)
+def provenance(spark, sf_dir):
+    """Every observation with all that is known of how it was read: passes, gates with details, page, whether a person checked it."""
+    role = F.lit(None).cast("string")
+    for event, name in ROLES.items():
+        role = F.when(F.col("analyte") == event, name).otherwise(role)
+    o = observations(spark, sf_dir).withColumns({"analyte": role, "page": F.floor(F.col("seq") / 40).cast("long"), "human_verified": F.col("k") % 3 == 0})
+    samples = points(spark, sf_dir).select("patient_id", "day", role.alias("analyte"), "value")
+    p = Q.with_provenance(o, samples, ["patient_id", "day"])
+    verdict = lambda g: F.concat(F.lit(f"{g} "), F.col("provenance.gates")[g]["state"], F.lit(": "), F.col("provenance.gates")[g]["detail"]).alias(g)
+    ocr = F.array_join(F.transform(F.array_sort(F.map_entries("provenance.ocr")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return p.select("patient_id", "analyte", "seq", "interpretation", "critical", "needs_review", *[verdict(g) for g in ("arithmetic", "differential", "ensemble", "envelope", "flag_consistency")], F.col("provenance.page").alias("page"), F.col("provenance.human_verified").alias("human_verified"), ocr.alias("ocr"))
+
+
 @query(READ_SQL + f"""
 SELECT 'ensemble' AS gate, {ENSEMBLE} AS state, count(*) AS n FROM reads GROUP BY ALL
 UNION ALL SELECT 'flag', {FLAG}, count(*) FROM reads GROUP BY ALL UNION ALL SELECT 'envelope', {ENVELOPE}, count(*) FROM reads GROUP BY ALL""")

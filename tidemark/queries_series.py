@@ -216,6 +216,20 @@ def movement_tally(spark, sf_dir):
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("direction"), F.col(k).alias("n")) for k in kinds])))
 
 
+@query(MOVEMENT_SQL + """SELECT patient_id, analyte, pct::DECIMAL(18,4)::DOUBLE AS pct, direction, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY abs(pct) DESC, analyte)::INT AS place FROM movement WHERE direction IN ('worse', 'better')) WHERE place <= 10""")
+def directional_movers(spark, sf_dir):
+    """The ten analytes of each patient that got worse or better by most."""
+    return V.directional_movers(points(spark, sf_dir))
+
+
+@query(BURDEN_SQL + """, states AS (SELECT patient_id, system, arg_min(mean_fold, day) AS first_fold, arg_max(mean_fold, day) AS last_fold FROM burden GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY last_fold DESC, system)::INT AS place FROM states""")
+def systems_by_fold(spark, sf_dir):
+    """The systems of each patient, the one furthest from its range first."""
+    return V.systems_by_fold(points(spark, sf_dir))
+
+
 @query(MOVEMENT_SQL + "SELECT patient_id, analyte, pct::DECIMAL(18,4)::DOUBLE AS pct, direction FROM movement ORDER BY abs(pct) DESC, patient_id, analyte LIMIT 40")
 def top_movers(spark, sf_dir):
     return V.top_movers(points(spark, sf_dir))
