@@ -184,10 +184,9 @@ def with_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Classes with one text each, that of their pick, however many rows repeat it."""
     text = text_of(docs)
     texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64(text).alias("t_mark"), text.alias("text"))
-    # Repeated rows are one before anything is sent.
-    texts = texts.groupBy("t_id", "t_mark").agg(F.min("text").alias("text"))
     found = known.join(texts, F.col("pick.doc_id").eqNullSafe(F.col("t_id")) & (F.col("pick.mark") == F.col("t_mark")))
-    return found.select("d1", "d2", "copies", "buckets", "text")
+    # Rows that repeat a pick are one before they are sent on.
+    return found.groupBy("d1", "d2").agg(F.first("copies").alias("copies"), F.first("buckets").alias("buckets"), F.min("text").alias("text"))
 
 
 def linked_sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
