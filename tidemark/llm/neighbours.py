@@ -16,7 +16,9 @@ per block of the other side.
 
 Defined results: vectors that are null, zero, empty or hold null, NaN or infinite
 components take no part, and neither do rows without an id; vectors of different lengths
-are not compared; an id in several rows counts once per query, with its best score.
+are not compared; an id in several rows counts once per query, with its best score;
+products beyond the largest double are infinite, and those of infinite terms of both signs count as
+negative infinity.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ def usable(rows: DataFrame, id_name: str, vector_name: str) -> DataFrame:
     good = F.size(v) > 0
     good &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     good &= F.exists(v, lambda x: x != 0)
-    named = rows.select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector_name).cast("array<double>").alias("v"))
+    # Single precision travels as it is; tiles widen it.
+    kind = "array<float>" if rows.schema[vector_name].dataType.simpleString() == "array<float>" else "array<double>"
+    named = rows.select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector_name).cast(kind).alias("v"))
     return named.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(good).withColumn("dim", F.size("v"))
 
 
@@ -74,6 +78,13 @@ def best_of_tile(q_ids, q, c_ids, c, k: int) -> Iterator[tuple[int, list[tuple[f
     """For each query id of a tile its nearest candidates, as sorted (-score, id)."""
     import numpy as np
 
+    with np.errstate(over="ignore", invalid="ignore"):
+        yield from _best_of_tile(q_ids, q, c_ids, c, k)
+
+
+def _best_of_tile(q_ids, q, c_ids, c, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    import numpy as np
+
     c, groups = distinct_vectors(c_ids, c)
     repeated = len(set(c_ids.tolist())) < sum(map(len, groups))  # one id with several vectors
     c_codes, c_scale, c_shown, c_norm, c_left = quantise(c)
@@ -93,8 +104,11 @@ def best_of_tile(q_ids, q, c_ids, c, k: int) -> Iterator[tuple[int, list[tuple[f
             need = min(len(middle), 2 * k + 2 if repeated else k + 1)  # one place for the query's own vector
             low = middle - error
             limit = np.partition(low, len(low) - need)[len(low) - need]
-            keep = np.flatnonzero(middle + error >= limit) if not repeated else np.arange(len(middle))
+            # Bounds of products beyond the largest double tell nothing.
+            bounded = not repeated and bool(np.isfinite(error + np.abs(middle)).all())
+            keep = np.flatnonzero(middle + error >= limit) if bounded else np.arange(len(middle))
             exact = np.add.accumulate(c[keep] * part[j], axis=1)[:, -1]  # one fixed order of summation
+            exact = np.where(np.isnan(exact), -np.inf, exact)
             best: dict[int, float] = {}
             for g in np.argsort(-exact, kind="stable"):
                 score = float(exact[g])
