@@ -66,10 +66,10 @@ def test_labels_against_plain(spark):
 
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_by_either_way(spark, how):
-    rows = spark.range(500).selectExpr("if(id % 3 = 0, 7, id % 20) as k", "id as v")
+    rows = spark.range(500).selectExpr("if(id % 3 = 0, 7, id % 20) as k", "id as v", "map(id, 'x') as `a.m`")
     table = spark.range(5, 15).selectExpr("id as k", "concat('t', id) as name")
     small, large = lookup(rows, table, "k", how), lookup(rows, table, "k", how, most=3, salts=4)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and small.columns == large.columns == ["k", "v", "name"]
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect())) and small.columns == large.columns == ["k", "v", "a.m", "name"]
     assert lookup(rows.limit(0), table, "k", how).count() == 0 and lookup(rows, table.limit(0), "k", how).count() == (500 if how == "left" else 0)
 
 

@@ -122,3 +122,11 @@ def test_conflicts_against_plain(spark):
     got = {r.patient_id: (r.seq, r.value, r.needs_review, [(c.seq, c.value) for c in r.conflicts]) for r in Q.dedupe_conflicts(df.repartition(6), ["patient_id"]).collect()}
     want = {p: plain_conflicts([(r[1], r[2], r[3], r[4], r[5], flags[r[1]]) for r in rows if r[0] == p]) for p in {r[0] for r in rows}}
     assert got == want
+
+
+def test_words_of_recogniser_output(spark, tmp_path):
+    head = "level page block par line_num word_no left top width height conf text".split()
+    rows = [head, "5 1 1 1 1 1 10 20 30 12 96.5".split() + ['4" tube'], "5 1 1 1 1 2 50 20 30 12 -1".split() + ["box"], "5 1 1 1 1 3 90 20 30 12 88".split() + ["  "], "5 1 1".split(), "5 1 1 1 1 4 99 20 30 12 0".split() + ["mg/dL"]]
+    (tmp_path / "page.tsv").write_text("".join("\t".join(r) + "\n" for r in rows))
+    got = L.words_from_tsv(spark, str(tmp_path / "page.tsv")).orderBy("word_no").collect()
+    assert [(r.page, r.word_no, r.left, r.conf, r.text) for r in got] == [(1, 1, 10, 96.5, '4" tube'), (1, 4, 99, 0.0, "mg/dL")]

@@ -19,6 +19,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", most:
     """
     if table.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(table), key, how)
-    dealt = rows.withColumn("tm_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    # Maps have no hash; a row's other columns are enough to spread the rows of a key.
+    hashed = [F.col("`" + f.name.replace("`", "``") + "`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = rows.withColumn("tm_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     each = table.withColumn("tm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(each, [key, "tm_salt"], how).drop("tm_salt")
