@@ -112,16 +112,17 @@ def critical_flags(obs: DataFrame) -> DataFrame:
     return g.filter("flagged is not null").select(F.when(F.col("latest") > F.col("flagged"), "high").otherwise("critical").alias("severity"), *KEYS, "flagged", "latest", "n_flags")
 
 
-def score_escalation(scores: DataFrame, least: float, days: int = 2) -> DataFrame:
+def score_escalation(scores: DataFrame, least: float, days: int = 2, first_wins: bool = False) -> DataFrame:
     """The largest rise of a score within ``days`` days per patient; ``patient_id, day, score``.
 
-    A range frame over day numbers finds the lowest earlier score; no self-join.
+    Of equal rises that from the latest day, or from the first; of these, that to the latest day.
+    A range frame over day numbers finds the earlier scores; no self-join.
     """
     w = Window.partitionBy("patient_id").orderBy("day").rangeBetween(-days, -1)
-    low = F.min(F.struct(F.col("score"), (-F.col("day")).alias("d"))).over(w)
-    s = scores.withColumn("low", low).withColumn("rise", F.col("score") - F.col("low.score")).filter(F.col("rise") >= least)
-    best = F.max(F.struct("rise", (-F.col("low.d")).alias("p_day"), F.col("low.score").alias("p_score"), "day", "score"))
-    return s.groupBy("patient_id").agg(best.alias("b")).select("patient_id", fixed(F.col("b.rise")).alias("rise"), "b.p_day", "b.day", fixed(F.col("b.p_score")).alias("p_score"), fixed(F.col("b.score")).alias("score"))
+    sign = -1 if first_wins else 1
+    rises = F.transform("earlier", lambda e: F.struct((F.col("score") - e["score"]).alias("rise"), (sign * e["day"]).alias("d"), e["score"].alias("p_score"), "day", "score"))
+    s = scores.filter("patient_id is not null").withColumn("earlier", F.collect_list(F.struct("day", "score")).over(w)).select("patient_id", F.array_max(rises).alias("b")).filter(F.col("b.rise") >= least)
+    return s.groupBy("patient_id").agg(F.max("b").alias("b")).select("patient_id", fixed(F.col("b.rise")).alias("rise"), (sign * F.col("b.d")).alias("p_day"), "b.day", fixed(F.col("b.p_score")).alias("p_score"), fixed(F.col("b.score")).alias("score"))
 
 
 def trends(points: DataFrame, days: int = TREND_DAYS) -> DataFrame:

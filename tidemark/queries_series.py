@@ -398,7 +398,7 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all ten rules, each part of which reads the points anew."""
     p = points(spark, sf_dir)
     scores = p.groupBy("patient_id", "day").agg(fixed(F.sum("value")).alias("score"))
-    return R.all_findings(p, observations(spark, sf_dir), scores, EVENT_MOVE_RULES, EVENT_POINT_RULES, 100.0)
+    return R.all_findings(p, observations(spark, sf_dir), scores, EVENT_MOVE_RULES, EVENT_POINT_RULES, 100.0, first_wins=True)
 
 
 @query(ALL_SQL + "SELECT * FROM everything")
