@@ -27,3 +27,7 @@ def test_all_findings_of_equal_rises(spark, tied):
     assert differences(Q.all_findings(spark, tied), Q.ORACLE["all_findings"], tied) == []
     got = Q.all_findings(spark, tied).filter("rule = 'meld-escalation'").collect()
     assert {(r.patient_id, r.from_day, r.to_day) for r in got} == {(1, 1, 2), (2, 3, 5), (3, 1, 3), (4, 1, 3)}
+
+
+def test_timeline_of_equal_rises(spark, tied):
+    assert differences(Q.all_findings_timeline(spark, tied), Q.ORACLE["all_findings_timeline"], tied) == []
