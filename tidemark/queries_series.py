@@ -145,7 +145,7 @@ lowest AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rise DE
 SELECT patient_id, rise::DECIMAL(18,4)::DOUBLE AS rise, p_day, day, p_score, score FROM lowest WHERE rn = 1""")
 def score_escalation(spark, sf_dir):
     scores = points(spark, sf_dir).groupBy("patient_id", "day").agg(fixed(F.sum("value")).alias("score"))
-    return S.score_escalation(scores, 100.0)
+    return S.score_escalation(scores, 100.0, first_wins=True)
 
 
 @query(MOVES_SQL + "SELECT patient_id, analyte, n, first_value, last_value, dir FROM moves")
